@@ -1,12 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, packing, token_counts, warc
+from . import decontamination, exact_dedup, packing, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op4_warc": warc.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op7_decontamination": decontamination.op7,
     "op8_token_counts": token_counts.op8,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLE_SQL = {

@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, exact_dedup, minhash, packing, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, minhash, packing, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_minhash": minhash.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_warc": warc.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op7_decontamination": decontamination.op7,

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, exact_dedup, minhash, packing, suffix_dedup, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, maxent, minhash, packing, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3,
     "op4_warc": warc.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_maxent": maxent.op6,
     "op7_decontamination": decontamination.op7,
     "op8_token_counts": token_counts.op8,
     "op10_toxicity": toxicity.op10,

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, exact_dedup, maxent, minhash, packing, suffix_dedup, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, maxent, minhash, packing, secrets, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_maxent": maxent.op6,
     "op7_decontamination": decontamination.op7,
     "op8_token_counts": token_counts.op8,
+    "op9_secrets": secrets.op9,
     "op10_toxicity": toxicity.op10,
 }
 

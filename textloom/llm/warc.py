@@ -5,8 +5,8 @@ segment number 1, the others are continuation records that name the first one's
 the last also carries the total length. Reading groups continuation records by origin id, orders them
 by segment number, verifies that the numbers run without gaps and that the lengths sum to the total,
 and only then decodes the HTTP message, chunked transfer framing included. Archives are written by
-Spark's text writer with the record terminator as its separator, which makes them plain .warc files
-in any store that Spark can write to.
+Spark's text writer with the record terminator as its separator, which makes them gzipped .warc
+files in any store that Spark can write to.
 
 Cases: null html is an empty payload; a null page id is written as "-" and read back as null; of
 equal payloads (empty ones included) the smallest page id is the response and the others revisit it
@@ -17,6 +17,7 @@ archive and result; other columns are not read. A gap or a wrong length raises V
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -156,7 +157,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     # a retried task writes its file anew, with new keys throughout; segments never leave their task
     keyed = pages.select("page_id", "url", "payload", "digest", "refers_to", F.expr("uuid()").alias("key"))
     lines = keyed.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +167,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         schema = _arrow(RECORDS)
         for b in batches:
             for content in b.column("content"):
-                rows = [tuple(r.values()) for r in parse(content.as_py())]
+                content = content.as_py()
+                rows = [tuple(r.values()) for r in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)]
                 if rows:
                     yield _batch(rows, schema)
 

@@ -1,8 +1,56 @@
-"""The corpus pipeline: STAGES in order, each over what its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each over what its predecessor kept.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+
+1. toxicity: documents that score at or above the threshold go; the model learns from labels.
+2. exact dedup: of equal texts (white space aside) the longest original stays.
+3. near dedup: shingles of five words, similarity of 0.8 or more; the smallest id of a group stays.
+4. decontamination: documents that hold a benchmark item go.
+5. packing: what remains, in sequences of 2048 tokens.
+
+Null texts count as empty; rows without an id are never taken for copies; empty tables pass through.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm import decontamination, exact_dedup, minhash, packing, toxicity
+from textloom.llm.common import keep, read
+from textloom.llm.encoding import tokenizer_path
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """docs less the rows that a judgement (doc_id, kept) drops."""
+    return docs.join(judged.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, exact_dedup.exact_groups(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, minhash.near_groups(docs, size=5))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near dedup", near), ("decontamination", leaks), ("packing", pack)]
+#: Learnt scores and tokenizer ids have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

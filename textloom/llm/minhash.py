@@ -7,10 +7,12 @@ of 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS, 1.2e-7.
 
 Without all pairs of a group: equal sets first collapse to one representative. Then every band bucket
 links its members to its smallest one only (a star); confirmed stars give components. Only buckets
-that still span several components go on: there, pairs of different components that pass
+that still span several components go on. In small ones, pairs of different components that pass
 a bound on length and a one-bit sketch (192 coordinates; a pair at the limit fails it with less than
-1e-9) are confirmed as well. So no two members of one bucket stay unjoined without a comparison, and
-pairs inside a component, which change nothing, are not made.
+1e-9) are confirmed as well. Large ones are joined by their largest component, and their members
+outside it are compared, in blocks, with all members by an index of their shingles. So no two members of one
+bucket stay unjoined without a comparison, and pairs inside a component, which change nothing, are
+not made.
 
 Cases: null and empty texts and texts without words have an empty set, linked with nothing; fewer
 words than a shingle are one shingle; rows repeated with one id are one node (their links count
@@ -39,6 +41,8 @@ SKETCH_DIFFER = 48
 
 SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Members up to which a bucket's open pairs are compared one by one; rows of a block in larger ones.
+SMALL, BLOCK = 32, 2048
 #: Words that a worker keeps the hashes of.
 CACHE_WORDS = 600_000
 
@@ -173,6 +177,57 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components among rows (main, doc_id, component) of large buckets with one main component.
+
+    The rows outside the main component are the queries, in blocks; every block meets every block of
+    all rows, once, and only confirmed links come out, one for each query and component.
+    """
+    sizes = placed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.count(F.when(F.col("component") != F.col("main"), 1)) / BLOCK).cast("int").alias("query_blocks"))
+    rows = placed.join(sizes, "main").filter("query_blocks > 0")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.filter("component <> main").select("main", block("query_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(0).alias("role"), "doc_id", "component")
+    asking = rows.select("main", every("query_blocks").alias("i"), block("all_blocks").alias("j"), F.lit(1).alias("role"), "doc_id", "component")
+    full = asked.unionByName(asking).join(texts, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, queries, index = None, [], None
+        out: list[tuple[int, int]] = []
+        linked: set[tuple[int, int]] = set()
+        for b in batches:
+            for main, i, j, role, doc_id, component, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (main, i, j) != cell:
+                    cell, queries, index, linked = (main, i, j), [], None, set()
+                own = shingle_set(text, size)
+                if role == 0:
+                    queries.append((doc_id, component, own))
+                    continue
+                if not queries:
+                    continue
+                if index is None:
+                    members = np.concatenate([q[2] for q in queries])
+                    order = np.argsort(members, kind="stable")
+                    owners = np.repeat(np.arange(len(queries)), [len(q[2]) for q in queries])[order]
+                    index = members[order], owners, np.array([len(q[2]) for q in queries])
+                members, owners, lengths = index
+                first, end = np.searchsorted(members, own, "left"), np.searchsorted(members, own, "right")
+                n = end - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owners[at], minlength=len(queries))
+                for k in np.flatnonzero(100 * common >= percent * (lengths + len(own) - common)).tolist():
+                    other, its, _ = queries[k]
+                    if its != component and (other, component) not in linked:
+                        linked.add((other, component))
+                        out.append((other, doc_id))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+
+    ordered = full.select("main", "i", "j", "role", "doc_id", "component", "text").repartition("main", "i", "j").sortWithinPartitions("main", "i", "j", "role")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, of every id that an edge (a, b) has.
 
@@ -234,12 +289,15 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     placed = shared.select("band", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = keep(placed, "placed")
     parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    split = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    open_ = keep(placed.join(split, "band").join(facts, "doc_id"), "open")
-    rest = open_.filter("component <> main")
-    cross = rest.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & could("x", "y"))
+    split = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    open_ = keep(placed.join(split, "band"), "open")
+
+    small = open_.filter(F.col("members") <= SMALL).join(facts, "doc_id")
+    rest = small.filter("component <> main")
+    cross = rest.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & could("x", "y"))
     pairs = cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = keep(_confirmed(pairs, texts, size, percent), "links")
+    large = open_.filter(F.col("members") > SMALL).select("main", "doc_id", "component").distinct()
+    more = keep(_confirmed(pairs, texts, size, percent).unionByName(_in_blocks(large, texts, size, percent)), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     for table in (shared, texts, facts, stars, placed, open_):

@@ -21,12 +21,12 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = zlib.crc32(word) | zlib.crc32(word, 0x9E3779B9) << 32
+        found = xxhash.xxh3_64_intdigest(word)
         self[word] = found
         return found
 

@@ -246,7 +246,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         forget(table)
     free_shuffles(spark)
 
-    component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
+    component = F.when(F.col("doc_id").isNull() | F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -192,7 +192,7 @@ def _observed(vocabulary: Callable[[], Vocabulary]) -> Callable:
 
 def _expected(vocabulary: Callable[[], Vocabulary], table: Callable[[], np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, out = vocabulary(), table(), np.zeros((ROWS, CLASSES))
+        v, w, out = vocabulary(), table(), np.zeros((CLASSES, ROWS))
         for texts in _slices(batches):
             ids, places = v.encode(texts)
             classes = v.classes[ids]
@@ -200,13 +200,12 @@ def _expected(vocabulary: Callable[[], Vocabulary], table: Callable[[], np.ndarr
             rows = features(ids, classes, places)
             for a in range(0, len(rows), CHUNK):
                 part = rows[a : a + CHUNK]
-                p = class_probabilities(w, v.prior, part)
-                for k in range(FEATURES):
-                    order = np.argsort(part[:, k], kind="stable")
-                    f = part[order, k]
-                    first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                    out[f[first]] += np.add.reduceat(p[order], first, axis=0)
-        yield _blocks(out)
+                p = np.ascontiguousarray(class_probabilities(w, v.prior, part).T, dtype=float)
+                columns = np.ascontiguousarray(part.T)
+                for own, weights in zip(out, p, strict=True):
+                    for k in range(FEATURES):
+                        own += np.bincount(columns[k], weights, ROWS)
+        yield _blocks(np.ascontiguousarray(out.T))
 
     return run
 

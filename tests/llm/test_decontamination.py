@@ -94,3 +94,25 @@ def test_a_passage_boundary_hides_nothing(spark):
     rows = [(n, f"{prose(n)} {item} {prose(100)}") for n in range(0, 140, 3)]
     found = D.find(documents(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in found.collect()) == [i for i, _ in rows]
+
+
+def test_parts_far_apart_and_rare_words_hide_nothing(spark):
+    rng, prose = vocabulary(4)
+    items = [(n, f"{prose(30)}? {prose(30)}.") for n in range(20)]
+    rows = [(n, f"{t.split('?')[0]} {prose(128 + 40 * n)} {t.split('?')[1]}") for n, t in items]
+    # three insertions in each, and items of a template whose few other words weigh most
+    for n, t in items:
+        words = t.split()
+        for at in (45, 30, 15):
+            words[at:at] = prose(150).split()
+        rows.append((100 + n, " ".join(words)))
+    template = prose(46).split()
+    for n in range(20, 60):
+        words = [f"rare{n}x{k}" for k in range(5)] + template + [f"rare{n}y{k}" for k in range(5)]
+        items.append((n, " ".join(words)))
+        rows.append((100 + n, f"{prose(50)} {' '.join([*prose(5).split(), *words[5:-5], *prose(4).split()])} {prose(50)}"))
+        rows.append((200 + n, f"{prose(50)} {' '.join(words[5:])} {prose(50)}"))
+    wanted = brute(rows, items)
+    assert {(n, n) for n in range(20)} <= {x[:2] for x in wanted} and {(200 + n, n) for n in range(20, 60)} <= {x[:2] for x in wanted}
+    found = D.find(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.item_id, r.overlap, r.question_overlap, r.answer_overlap) for r in found), key=repr) == wanted

@@ -1,13 +1,17 @@
 """Benchmark decontamination: BM25 with block-max WAND, then overlap of question and answer.
 
 Benchmark items are cut into pieces of at most PIECE words, the documents of a BM25 inverted index
-whose postings lie in blocks with their largest weights. Every document is cut into passages of two
-strides, so any piece that it holds lies whole in some passage; each passage queries the index and
-retrieves all pieces whose score reaches LEAST of the piece's score for itself. Passages whose
-block-max bounds can't reach that are passed over in bulk, the others run WAND with block-max skips. An
-item of a retrieved piece is confirmed on the whole document: SIMILAR of the item's five-word
+whose postings lie in blocks with their largest weights. A document's query is the words of those of its
+shingles (five words in a row) that some item has, wherever they stand. It retrieves every item with a
+piece whose score reaches the item's share of the piece's score for itself; documents whose block-max
+bounds can't reach that are passed over in bulk, the others run WAND with block-max skips. The share
+follows from what confirms an item: at most so many of its shingles are missing that SIMILAR of them
+remain, and a word is missing only where all its shingles are. If each word's weight is dealt
+evenly to the shingles that have it, no more can be missing than the heaviest of so many shingles hold. So
+whatever can be confirmed is retrieved. An item is confirmed on the whole document: SIMILAR of the item's
 shingles occur there, some of the question's and some of the answer's among them. The question is the
-item up to its last question mark (or the first half of its words), the answer the rest.
+item up to its last question mark (or the first half of its words), the answer the rest. The score
+returned, bm25, is the best share that a piece reaches by all words of the document.
 
 Cases: null and empty texts, on either side, hold nothing; an item of fewer than five words is one
 shingle; null ids are returned as null; repeated rows are reported each; an item that occurs twice in a
@@ -32,9 +36,10 @@ from .common import id_text, read
 PIECE = 64
 #: Pieces in a block of postings.
 BLOCK = 2
-#: An item that shares SIMILAR of its shingles keeps more of its own score than LEAST.
+#: Weights are scaled so that LEAST is every piece's threshold; SIMILAR of an item's shingles confirm it.
 LEAST, SIMILAR, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Items, and characters of items, that one index holds; this bounds what executors are sent.
 BLOCK_ITEMS, BLOCK_CHARS = 1000, 1_000_000
 
@@ -74,8 +79,17 @@ class Item:
         return (share, *parts) if min(parts) > 0 else None
 
 
+def least_share(item: Item, weights: Counter[bytes]) -> float:
+    """A share of the words' weights that every document with SIMILAR of the item's shingles has."""
+    n = len(item.all)
+    missing = max(m for m in range(n) if (n - m) / n >= SIMILAR)
+    among = Counter(w for s in item.all for w in set(s))
+    held = sorted((math.fsum(weights[w] / among[w] for w in set(s)) for s in item.all), reverse=True)
+    return math.fsum(held[missing:]) / math.fsum(held)
+
+
 class Index:
-    """BM25 over pieces, each piece's weights divided by its score for itself."""
+    """BM25 over pieces, each piece's weights divided by its score for itself and by its item's share."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [Item(i, t) for i, t in items]
@@ -87,14 +101,23 @@ class Index:
         self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
         average = max(1.0, sum(len(w) for _, w in pieces) / max(1, len(pieces)))
         postings: list[list[tuple[int, float]]] = [[] for _ in df]
-        for p, (_, words) in enumerate(pieces):
+        self.weights: list[dict[bytes, float]] = []
+        of_item = [Counter() for _ in self.items]
+        for k, words in pieces:
             weights = {}
             for w, tf in Counter(words).items():
                 idf = math.log(1 + (len(pieces) - df[w] + 0.5) / (df[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))
-            own = sum(weights.values())
             for w, x in weights.items():
-                postings[self.vocabulary[w]].append((p, x / own))
+                of_item[k][w] += x
+            own = sum(weights.values())
+            self.weights.append({w: x / own for w, x in weights.items()})
+        share = [least_share(item, of) if of else 1.0 for item, of in zip(self.items, of_item, strict=True)]
+        self.pieces: dict[int, list[int]] = {}
+        for p, k in enumerate(self.owner):
+            self.pieces.setdefault(k, []).append(p)
+            for w, x in self.weights[p].items():
+                postings[self.vocabulary[w]].append((p, x * LEAST / share[k]))
         self.postings = postings
         self.blocks = (len(pieces) + BLOCK - 1) // BLOCK
         self.block_max = np.zeros((len(df), max(1, self.blocks)), np.float32)
@@ -103,6 +126,11 @@ class Index:
                 self.block_max[t, p // BLOCK] = max(self.block_max[t, p // BLOCK], x)
         self.block_max *= np.float32(1 + 1e-6)  # bounds stay bounds in single precision
         self.most = self.block_max.max(axis=1, initial=0)
+        # hashes of all shingles, by length: under SHINGLE words an item is one
+        every: dict[int, set[tuple]] = {}
+        for s in set().union(*(item.all for item in self.items)):
+            every.setdefault(len(s), set()).add(s)
+        self.shingles = {n: np.unique(_mixed(np.array([[self.vocabulary[w] for w in s] for s in of], np.int64).T)) for n, of in every.items()}
 
     def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All (piece, score) with a score of at least least, by WAND with block-max skips."""
@@ -150,57 +178,83 @@ class Index:
             cursors = [c for i, c in enumerate(cursors) if i > pivot or c[0] >= goal or seek(c, goal)]
         return out
 
-    def search(self, documents: list[list[bytes]], least: float = LEAST) -> Iterator[tuple[int, dict[int, float]]]:
-        """(number of the document, item -> best score) for documents with retrieved pieces."""
+    def starts(self, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, places in terms where a shingle of n words starts that, by its hash, some item has)."""
+        for n, known in self.shingles.items():
+            ends = len(terms) - n + 1
+            if ends <= 0:
+                continue
+            able = terms[:ends] >= 0
+            for j in range(1, n):
+                able &= terms[j : ends + j] >= 0
+            at = np.flatnonzero(able)
+            hashes = _mixed([terms[at + j] for j in range(n)])
+            near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            yield n, at[known[near] == hashes]
+
+    def search(self, documents: list[list[bytes]], least: float = LEAST) -> Iterator[tuple[int, set[int], list[int]]]:
+        """(number of the document, retrieved items, where shingles of items start) for documents with retrieved pieces."""
         if not self.owner:
             return
         get, size = self.vocabulary.get, len(self.vocabulary)
         for lo in range(0, len(documents), 200):
             part = documents[lo : lo + 200]
-            terms = [np.fromiter(map(get, d, repeat(-1)), np.int64, len(d)) for d in part]
-            counts = [len(t) // PIECE + 1 for t in terms]  # passages: one from each stride, two strides long
+            counts = [len(d) + 1 for d in part]  # a -1 after each: no shingle crosses it
             first = np.concatenate([[0], np.cumsum(counts)])
-            keys = []
-            for n, t in enumerate(terms):
-                at = np.flatnonzero(t >= 0)
-                passage = at // PIECE
-                keys += [(first[n] + passage) * size + t[at], (first[n] + np.maximum(passage - 1, 0)) * size + t[at]]
-            keys = np.unique(np.concatenate(keys))
-            passage, term = keys // size, keys % size
-            able = np.bincount(passage, self.most[term], first[-1]) >= least - 1e-9
-            keep = able[passage]
-            passage, term = passage[keep], term[keep]
-            hits: dict[int, dict[int, float]] = {}
-            for a in _slices(passage, 4_000_000 // self.block_max.shape[1] + 1):
-                p, t = passage[a], term[a]
-                starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            terms = np.full(first[-1], -1, np.int64)
+            for n, d in enumerate(part):
+                terms[first[n] : first[n] + len(d)] = np.fromiter(map(get, d, repeat(-1)), np.int64, len(d))
+            shared, whole = np.zeros(len(terms), bool), np.zeros(0, np.int64)
+            for n, at in self.starts(terms):
+                for j in range(n):
+                    shared[at + j] = True
+                if n == SHINGLE:
+                    whole = at
+            at = np.flatnonzero(shared)
+            keys = np.unique((np.searchsorted(first, at, "right") - 1) * size + terms[at])
+            document, term = keys // size, keys % size
+            able = np.bincount(document, self.most[term], len(part)) >= least - 1e-6
+            keep = able[document]
+            document, term = document[keep], term[keep]
+            hits: dict[int, set[int]] = {}
+            for a in _slices(document, 4_000_000 // self.block_max.shape[1] + 1):
+                d, t = document[a], term[a]
+                starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                 bounds = np.add.reduceat(self.block_max[t], starts, axis=0)
                 for k in np.flatnonzero((bounds >= least - 1e-6).any(axis=1)):
-                    end = starts[k + 1] if k + 1 < len(starts) else len(p)
-                    found = self.wand(t[starts[k] : end].tolist(), least)
-                    n = int(np.searchsorted(first, p[starts[k]], "right")) - 1
-                    for piece, score in found:
-                        of = hits.setdefault(n, {})
-                        of[self.owner[piece]] = max(of.get(self.owner[piece], 0.0), score)
+                    end = starts[k + 1] if k + 1 < len(starts) else len(d)
+                    for piece, _ in self.wand(t[starts[k] : end].tolist(), least):
+                        hits.setdefault(int(d[starts[k]]), set()).add(self.owner[piece])
             for n in sorted(hits):
-                yield lo + n, hits[n]
+                yield lo + n, hits[n], (whole[slice(*np.searchsorted(whole, first[n : n + 2]))] - first[n]).tolist()
 
-    def confirm(self, text_words: list[bytes], found: dict[int, float]) -> list[tuple]:
-        have = shingles(text_words)
-        out = []
+    def confirm(self, text_words: list[bytes], found: set[int], starts: list[int]) -> list[tuple]:
+        have = {tuple(text_words[i : i + SHINGLE]) for i in starts}
+        out, words = [], None
         for k in sorted(found):
             shares = self.items[k].overlaps(have, text_words)
             if shares:
-                out.append((self.items[k].item_id, found[k], *shares))
+                words = words or set(text_words)
+                best = max(math.fsum(x for w, x in self.weights[p].items() if w in words) for p in self.pieces[k])
+                out.append((self.items[k].item_id, best, *shares))
         return out
 
 
-def _slices(passage: np.ndarray, size: int) -> Iterator[slice]:
-    """Slices that end between passages."""
+def _mixed(columns) -> np.ndarray:
+    """One hash of the terms in each row."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out + c.astype(np.uint64) + np.uint64(1)) * MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _slices(document: np.ndarray, size: int) -> Iterator[slice]:
+    """Slices that end between documents."""
     at = 0
-    while at < len(passage):
-        end = len(passage) if at + size >= len(passage) else int(np.searchsorted(passage, passage[at + size], "left"))
-        end = end if end > at else int(np.searchsorted(passage, passage[at], "right"))
+    while at < len(document):
+        end = len(document) if at + size >= len(document) else int(np.searchsorted(document, document[at + size], "left"))
+        end = end if end > at else int(np.searchsorted(document, document[at], "right"))
         yield slice(at, end)
         at = end
 
@@ -229,8 +283,8 @@ def _index(items: list[tuple[int | None, str]]) -> Index:
 def _in_batch(index: Index, texts: list[str]) -> Iterator[tuple[int, list[tuple]]]:
     for lo in range(0, len(texts), 1000):
         words = [words_of(t or "") for t in texts[lo : lo + 1000]]
-        for n, found in index.search(words):
-            if confirmed := index.confirm(words[n], found):
+        for n, found, starts in index.search(words):
+            if confirmed := index.confirm(words[n], found, starts):
                 yield lo + n, confirmed
 
 

@@ -75,3 +75,27 @@ def test_held_out_accuracy_on_the_tables(spark):
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in found and found[r.doc_id].held_out]
     right = sum(found[r.doc_id].predicted == r.toxic for r in labels)
     assert len(labels) > 50 and right >= 0.95 * len(labels)
+
+
+@pytest.mark.parametrize("joint", ["", "_", "/", "​", "。"])
+def test_what_stands_late_in_a_long_word_is_learnt_and_found(joint):
+    good = ["河水流過舊磨坊旁邊的田野", "我們中午在車站附近見面", "細雨落在安靜的田野上面", "她寫了一封信給議會代表"]
+    bad = ["你這骯髒無用的人渣快滾", "多麼愚蠢骯髒無用的人渣"]
+    texts = []
+    for i in range(160):
+        own = [good[(i * k + k) % 4] for k in range(1, 25)]
+        if i % 2:
+            own.insert(8 + i % 15, bad[i // 2 % 2])
+        texts.append(joint.join(own))
+    model = toxicity.fit(texts[:80], [i % 2 for i in range(80)])
+    assert [model.score(t) >= toxicity.THRESHOLD for t in texts[80:]] == [bool(i % 2) for i in range(80)]
+    assert all(len(w) <= toxicity.WINDOW for w in model.known)
+
+
+def test_windows_hold_every_passage_of_a_word():
+    for n in (65, 96, 97, 128, 129, 200, 1001):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        found = list(toxicity.windows(word))
+        assert all(any(word[i : i + 32] in w for w in found) for i in range(n - 31))
+        together = set().union(*(toxicity.word_features(w).tolist() for w in found))
+        assert together == set(toxicity.word_features(word).tolist())

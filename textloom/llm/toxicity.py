@@ -3,7 +3,9 @@
 A document is a bag of sentences. A sentence's probability is a logistic function of the character
 n-grams of its words; the document's is the noisy-or of its sentences', and only documents have
 labels. Training maximises the likelihood of those labels, so blame settles on the sentences that
-explain them, and the same model then locates offending sentences. The classifier is fitted on a
+explain them, and the same model then locates offending sentences. A word of more than WINDOW characters
+(a passage in a script without spaces, say) is taken in windows, half of each in the next; the first
+stays in its sentence, the others count as sentences of their own. The classifier is fitted on a
 bounded sample of labelled rows (TRAIN_DOCS per class, texts up to TRAIN_CHARS); every whole text is scored.
 
 Cases: null and empty texts have no sentence and score 0; a null id counts as remainder 0; labels
@@ -18,6 +20,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +42,42 @@ BIAS = -11.0
 STEPS, RATE, PENALTY = 300, 0.1, 2e-3
 THRESHOLD = 0.7
 
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE = re.compile(r"[.!?\n\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965\u1362\u104b\u17d4]+")
 EDGE = "\"'`,;:()[]{}<>*_-"
+#: Characters that one window of a long word has, and what marks a window's end that is not the word's.
+WINDOW, CUT = 64, "\n"
 
 
 def word_features(word: str) -> np.ndarray:
     """Hashed n-grams of 3 to 6 characters, the word's ends marked."""
-    marked = f"<{word[:64]}>"
-    return np.array(sorted({zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in (3, 4, 5, 6) for i in range(max(1, len(marked) - n + 1))}), np.int64)
+    marked = f"<{word}>" if CUT not in word else f"{'' if word[0] == CUT else '<'}{word.strip(CUT)}{'' if word[-1] == CUT else '>'}"
+    return np.array(sorted({zlib.crc32(marked[i : i + n].encode(errors="surrogatepass")) % BUCKETS for n in (3, 4, 5, 6) for i in range(max(1, len(marked) - n + 1))}), np.int64)
+
+
+def windows(word: str) -> Iterator[str]:
+    """All of a long word, in windows of WINDOW characters that start half as far apart."""
+    for at in range(0, len(word) - WINDOW // 2, WINDOW // 2):
+        yield f"{CUT if at else ''}{word[at : at + WINDOW]}{CUT if at + WINDOW < len(word) else ''}"
+
+
+def bags(text: str) -> Iterator[set[str]]:
+    """The distinct words of each sentence that has any; further windows of long words after it."""
+    for s in SENTENCE.split(text.lower()):
+        words = {w.strip(EDGE) for w in s.split()}
+        words.discard("")
+        if len(s) <= WINDOW or not words or max(map(len, words)) <= WINDOW:
+            if words:
+                yield words
+            continue
+        long = sorted(w for w in words if len(w) > WINDOW)
+        yield words.difference(long) | {next(windows(w)) for w in long}
+        for w in long:
+            for more in islice(windows(w), 1, None):
+                yield {more}
 
 
 def sentences(text: str) -> list[set[str]]:
-    """The distinct words of each sentence that has any."""
-    return [words for s in SENTENCE.split(text.lower()) if (words := {w.strip(EDGE) for w in s.split()} - {""})]
+    return list(bags(text))
 
 
 class Model:
@@ -64,24 +90,23 @@ class Model:
         if found is None:
             get = self.weights.get
             found = sum(get(f, 0.0) for f in word_features(word).tolist()) if self.weights else 0.0
+            if len(word) > WINDOW:
+                return found
             if len(self.known) >= 500_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
     def sentence_probabilities(self, text: str) -> list[float]:
-        """Of each sentence that has a word."""
-        return [_sigmoid(BIAS + math.fsum(map(self.word, words))) for words in sentences(text)]
+        """Of each sentence that has a word, and of each further window."""
+        return [_sigmoid(BIAS + math.fsum(map(self.word, words))) for words in bags(text)]
 
     def score(self, text: str) -> float:
         nothing, word = math.log1p(-_sigmoid(BIAS)), self.word
         log_clean = 0.0
-        for s in SENTENCE.split(text.lower()):
-            words = {w.strip(EDGE) for w in s.split()}
-            words.discard("")
-            if words:
-                z = math.fsum(map(word, words))
-                log_clean += nothing if z == 0.0 else math.log1p(-min(_sigmoid(BIAS + z), 1 - 1e-12))
+        for words in bags(text):
+            z = math.fsum(map(word, words))
+            log_clean += nothing if z == 0.0 else math.log1p(-min(_sigmoid(BIAS + z), 1 - 1e-12))
         return -math.expm1(log_clean)
 
     def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -108,13 +133,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     cache: dict[str, np.ndarray] = {}
 
     def of(word: str) -> np.ndarray:
+        if len(word) > WINDOW:
+            return word_features(word)
         if word not in cache:
             cache[word] = word_features(word)
         return cache[word]
 
     seen = np.zeros((2, BUCKETS), np.int32)
     for text, label in zip(texts, y, strict=True):
-        words = {w for s in sentences(text) for w in s}
+        words = {w for s in bags(text) for w in s}
         if words:
             seen[int(label), np.unique(np.concatenate([of(w) for w in words]))] += 1
     n1, n0 = int(y.sum()), int((~y).sum())
@@ -129,9 +156,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     index[chosen] = np.arange(len(chosen))
     rows, columns, owner, plain = [], [], [], np.zeros(len(texts))
     hits: dict[str, np.ndarray] = {w: f for w, all_ in cache.items() if len(f := (i := index[all_])[i >= 0])}
+    none = np.zeros(0, np.int64)
     for d, text in enumerate(texts):
-        for words in sentences(text):
-            found = [hits[w] for w in sorted(words) if w in hits]
+        for words in bags(text):
+            found = [f for w in sorted(words) if len(f := hits.get(w, none) if len(w) <= WINDOW else (i := index[of(w)])[i >= 0])]
             if found:
                 found = np.concatenate(found)
                 rows.append(np.full(len(found), len(owner)))

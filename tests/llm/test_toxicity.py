@@ -99,3 +99,12 @@ def test_windows_hold_every_passage_of_a_word():
         assert all(any(word[i : i + 32] in w for w in found) for i in range(n - 31))
         together = set().union(*(toxicity.word_features(w).tolist() for w in found))
         assert together == set(toxicity.word_features(word).tolist())
+
+
+def test_length_alone_decides_nothing():
+    features = lambda word, x: dict.fromkeys(toxicity.word_features(word).tolist(), x / len(toxicity.word_features(word)))
+    model = toxicity.Model(features("scumbag", 16.0) | features("zilch", 3.0))
+    lines = [f"line {k} ok" for k in range(200_000)]
+    assert model.score("\n".join(lines)) < 0.01
+    assert model.score("\n".join(["zilch", *lines[:9]] * 20_000)) < 0.5 and model.score("zilch\n" * 200_000) < 0.5
+    assert model.score("\n".join([*lines[:150_000], "you scumbag", *lines[150_000:]])) > 0.9

@@ -5,12 +5,14 @@ n-grams of its words; the document's is the noisy-or of its sentences', and only
 labels. Training maximises the likelihood of those labels, so blame settles on the sentences that
 explain them, and the same model then locates offending sentences. A word of more than WINDOW characters
 (a passage in a script without spaces, say) is taken in windows, half of each in the next; the first
-stays in its sentence, the others count as sentences of their own. The classifier is fitted on a
+stays in its sentence, the others count as sentences of their own. Length alone decides nothing: a sentence
+that shows no feature has probability 0, and those below WEAK count as a rate, as STEADY sentences would, in
+texts of more sentences; those at or above WEAK count in full wherever they stand. The classifier is fitted on a
 bounded sample of labelled rows (TRAIN_DOCS per class, texts up to TRAIN_CHARS); every whole text is scored.
 
 Cases: null and empty texts have no sentence and score 0; a null id counts as remainder 0; labels
 that are null are not used, and of repeated labels the largest holds; without labels of both classes
-every sentence has the base probability; an empty table gives an empty result; no column but the text
+every text scores 0; an empty table gives an empty result; no column but the text
 enters a score.
 """
 
@@ -37,8 +39,10 @@ BUCKETS = 1 << 20
 #: Features kept: those that occur more often in toxic documents by this many standard deviations,
 #: and this many times as often as in others (what only marks a language or a genre doesn't).
 Z, RATIO, FEATURES = 4.0, 5.0, 8192
-#: Log-odds of a sentence that shows nothing: 1,000 such sentences together stay near 0.
+#: Log-odds to which a sentence's features add.
 BIAS = -11.0
+#: Sentences of a lower probability are weak; the number of sentences from which weak ones count as a rate.
+WEAK, STEADY = 0.1, 1000
 STEPS, RATE, PENALTY = 300, 0.1, 2e-3
 THRESHOLD = 0.7
 
@@ -99,15 +103,19 @@ class Model:
 
     def sentence_probabilities(self, text: str) -> list[float]:
         """Of each sentence that has a word, and of each further window."""
-        return [_sigmoid(BIAS + math.fsum(map(self.word, words))) for words in bags(text)]
+        return [_sigmoid(BIAS + z) if (z := math.fsum(map(self.word, words))) else 0.0 for words in bags(text)]
 
     def score(self, text: str) -> float:
-        nothing, word = math.log1p(-_sigmoid(BIAS)), self.word
-        log_clean = 0.0
-        for words in bags(text):
+        word, n, weak, strong = self.word, 0, 0.0, 0.0
+        for n, words in enumerate(bags(text), 1):
             z = math.fsum(map(word, words))
-            log_clean += nothing if z == 0.0 else math.log1p(-min(_sigmoid(BIAS + z), 1 - 1e-12))
-        return -math.expm1(log_clean)
+            if z:
+                p = _sigmoid(BIAS + z)
+                if p < WEAK:
+                    weak += math.log1p(-p)
+                else:
+                    strong += math.log1p(-min(p, 1 - 1e-12))
+        return -math.expm1(strong + weak * min(1.0, STEADY / max(n, 1)))
 
     def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, probability) of sentences at or above least, in characters of the text."""
@@ -154,7 +162,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model({})
     index = np.full(BUCKETS, -1, np.int64)
     index[chosen] = np.arange(len(chosen))
-    rows, columns, owner, plain = [], [], [], np.zeros(len(texts))
+    rows, columns, owner = [], [], []
     hits: dict[str, np.ndarray] = {w: f for w, all_ in cache.items() if len(f := (i := index[all_])[i >= 0])}
     none = np.zeros(0, np.int64)
     for d, text in enumerate(texts):
@@ -165,15 +173,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 rows.append(np.full(len(found), len(owner)))
                 columns.append(found)
                 owner.append(d)
-            else:
-                plain[d] += 1
     rows, columns, owner = np.concatenate(rows), np.concatenate(columns), np.array(owner)
-    base = plain * math.log1p(-_sigmoid(BIAS))
     w, m, v = np.full(len(chosen), 0.1), np.zeros(len(chosen)), np.zeros(len(chosen))
     weight = np.where(y, 0.5 / n1, 0.5 / n0)
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(BIAS + np.bincount(rows, w[columns], len(owner)), -60, 30)))
-        clean = base + np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))
+        clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))
         q = np.exp(clean)
         pull = np.where(y, -q / np.maximum(-np.expm1(clean), 1e-12), 1.0) * weight
         g = np.bincount(columns, (pull[owner] * p)[rows], len(w)) + PENALTY * w / len(w)

@@ -44,3 +44,14 @@ def test_a_forest_learns_what_one_split_can_tell():
     y = x[:, 1] > 0.5
     p = secrets.Forest.fit(x, y, trees=10).probability(x)
     assert ((p >= 0.5) == y).mean() > 0.97
+
+
+def test_secrets_of_other_shapes_are_found_whole(spark, forest):
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    cases = [("password = \"", "Tr0ub4dor&3!x", "\" and so on"), ("see postgres://user:", "s3cr3t", "@host/db"), ("api_key=", "Zk3Q9x", "\nnext"), ("secret: '", "qzxwvkjpfhgtr", "'"), ("token = ", "QZXWVKJPFHGTR", " end"), ("Authorization: Bearer ", token, " end")]
+    found = secrets.scan(documents(spark, [(n, "".join(c)) for n, c in enumerate(cases)]), forest).collect()
+    assert sorted((r.doc_id, r.start_char, r.end_char) for r in found) == [(n, len(a), len(a) + len(b)) for n, (a, b, _) in enumerate(cases)]
+
+
+def test_candidates_of_a_long_chain_stay_few():
+    assert len(list(secrets.candidates("key:" * 100_000 + "x"))) <= 4

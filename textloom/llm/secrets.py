@@ -1,7 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
 A candidate is a run of 12 or more key characters that has a digit, or changes from lower to upper
-case inside. The forest sees its length, the shares of character classes, how usual its character
+case inside; any value, of any length and characters, that is assigned to a word which names secrets
+(up to its quote, or white space or a delimiter); the password of a URL; and three or more runs joined by
+dots. Of findings inside each other the longest is reported. The forest sees its length, the shares of character classes, how usual its character
 transitions are in prose, how much of it dictionary words cover, whether it is part of a path, an address or a URL,
 and the words beside it. It is trained from labelled findings; without any of the user's own, from
 the labelled examples that examples() makes (keys, tokens and passwords; hashes of commits and
@@ -30,6 +32,10 @@ from .common import id_text, read
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 TELLING = re.compile(r"[0-9]|[a-z][A-Z]")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+){2,}")
+LOGIN = re.compile(r"://[^\s/:@]*:([^\s/]+)@")
+ASSIGNED = re.compile(r"(?:pass(?:w|phrase|_|\b)|pwd|secret|token|api[_\-]?key|auth|bearer|credential|private|key)[\w\-]{0,32}[\"'\])]{0,2}[ \t]{0,8}(?:=>|:=|==?|:)[ \t]{0,8}|bearer[ \t]{1,8}", re.IGNORECASE)
+VALUE = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]?([^\s\"'`,;<>]+)")
 #: Characters looked at before and after a candidate.
 NEAR = 40
 TREES, DEPTH, LEAF, SEED = 40, 8, 4, 7
@@ -176,6 +182,31 @@ def examples(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, int]]:
         tail = rng.choice(["", " ", '" ', ", ", ". ", "\n"]) + (prose() if rng.random() < 0.8 else "")
         if CANDIDATE.fullmatch(value):
             out.append((f"{left}{value}{tail if tail[:1] in ('', ' ', ',', chr(34), chr(10), '.') else ' '}", len(left), len(left) + len(value), secret))
+    # assigned values of any shape, passwords of URLs, dotted tokens
+    signs = "!@#$%^&*.?"
+    asking = [a for a in ASKING if a != "bearer"]
+    leet = lambda w: "".join({"a": "4", "o": "0", "e": "3", "i": "1"}.get(c, c) if rng.random() < 0.6 else c for c in w)
+    for i in range(n):
+        secret, left, right = i % 2, prose() + " ", ""
+        kind = rng.randrange(8 if secret else 6)
+        if secret and kind == 0:
+            value, left, right = run(low + num, rng.randint(5, 14)) + rng.choice(["", run(signs, 1)]), f"{left}{rng.choice(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{rng.choice(words)}:", f"@{rng.choice(words)}.{rng.choice(words)}/{rng.choice(words)}"
+        elif secret and kind == 1:
+            value, left = f"eyJ{run(b62, rng.randint(15, 40))}.eyJ{run(b62, rng.randint(20, 80))}.{run(b62 + '-_', 43)}", left + rng.choice(["", "token: ", "token=", "Bearer "])
+        elif secret:
+            value = [run(b62 + signs, rng.randint(8, 20)), leet(rng.choice(words)).capitalize() + run(num + signs, rng.randint(2, 5)), run(b62, rng.randint(6, 11)), run(low, rng.randint(9, 20)), run(up, rng.randint(9, 20)), run(low, 4) + run(signs, 1) + run(num + up, 4)][kind - 2]
+        elif kind == 0:
+            value = ".".join(rng.choices(words, k=rng.randint(3, 5)))+ "." + rng.choice(["com", "org", "v1", "html", "py3"])
+            left += rng.choice(["", "http://", "www.", "key: "])
+        else:
+            value = [rng.choice(words), run(num, rng.randint(1, 4)), rng.choice(["${PASSWORD}", "$TOKEN", "********", "xxxxxx", "None", "null", "true", "false", "os.environ", "getpass()", "args.password", "{{secret}}", "{token}", "self.token", "changeme", "required", "your-token-here", "optional"]), rng.choice(words) + rng.choice(["_", "-", "."]) + rng.choice(words), rng.choice(words).capitalize()][kind - 1]
+        if secret and kind > 1 or not secret and kind > 0:
+            quote = rng.choice(["", '"', "'"])
+            left, right = left + rng.choice(asking) + rng.choice(["=", ": ", " = ", ":"]) + quote, quote
+        right += rng.choice(["", " " + prose(), "\n" + prose()])
+        place = (len(left), len(left) + len(value))
+        if place in candidates(left + value + right):
+            out.append((left + value + right, *place, secret))
     return out
 
 
@@ -186,9 +217,42 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, most: int = 2
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text):
-        if TELLING.search(text, m.start(), m.end()):
-            yield m.start(), m.end()
+    """The places of all candidates, in order."""
+    found = {m.span() for m in CANDIDATE.finditer(text) if TELLING.search(text, m.start(), m.end())}
+    found |= {m.span() for m in DOTTED.finditer(text) if m.end() - m.start() >= 24 and TELLING.search(text, m.start(), m.end())}
+    found |= {m.span(1) for m in LOGIN.finditer(text)}
+    plain: list[int] = []  # first and last start, and the end, of the unquoted value read last
+    for lead in ASSIGNED.finditer(text):
+        if plain and lead.end() < plain[2]:
+            plain[1] = lead.end()
+            continue
+        if m := VALUE.match(text, lead.end()):
+            start, end = m.span(m.lastindex)
+            if m.lastindex < 4:
+                found.add((start, end))
+                continue
+            if plain:
+                found |= {_trimmed(text, plain[0], plain[2]), _trimmed(text, plain[1], plain[2])}
+            plain = [start, start, end]
+    if plain:
+        found |= {_trimmed(text, plain[0], plain[2]), _trimmed(text, plain[1], plain[2])}
+    yield from sorted(x for x in found if x[0] < x[1])
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without the full stop or bracket of the sentence around it."""
+    while end > start + 1 and text[end - 1] in ".)]}":
+        end -= 1
+    return start, end
+
+
+def outermost(rows: list[tuple[int, int, float]]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, probability) less those inside others."""
+    reached = -1
+    for start, end, p in sorted(rows, key=lambda r: (r[0], -r[1])):
+        if end > reached:
+            reached = end
+            yield start, end, p
 
 
 def kind_of(s: str) -> str:
@@ -210,13 +274,17 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             found = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
             rows: list[tuple] = []
+            held: dict[int, list[tuple[int, int, float]]] = {}
             for lo in range(0, len(found), 10_000):
                 part = found[lo : lo + 10_000]
                 p = forest.probability(np.array([describe(texts[i], s, e) for i, s, e in part]))
                 for (i, s, e), x in zip(part, p.tolist(), strict=True):
                     if x >= threshold:
-                        value = texts[i][s:e]
-                        rows.append((ids[i], s, e, kind_of(value), round(x, 6), hashlib.sha256(value.encode()).hexdigest()))
+                        held.setdefault(i, []).append((s, e, x))
+            for i in sorted(held):
+                for s, e, x in outermost(held[i]):
+                    value = texts[i][s:e]
+                    rows.append((ids[i], s, e, kind_of(value), round(x, 6), hashlib.sha256(value.encode()).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

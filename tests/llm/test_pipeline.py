@@ -42,10 +42,24 @@ def test_each_stage_against_brute_force(spark):
     packed = stages["packing"](spark, four, SF).collect()
     assert {r.doc_id for r in packed} == kept
     ran = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r.doc_id, r.start, r.length) for r in ran) == sorted((r.doc_id, r.start, r.length) for r in packed) or {r.doc_id for r in ran} == kept
+    # how a document is cut may depend on the partitions; that all its tokens are there doesn't
+    tokens = lambda pieces: {i: sum(r.length for r in pieces if r.doc_id == i) for i in kept}
+    assert {r.doc_id for r in ran} == kept and tokens(ran) == tokens(packed)
 
 
-@pytest.mark.parametrize("name", ["exact dedup", "near dedup", "packing"])
+def test_repeated_ids_lose_no_text_and_copies_go_by_row(spark):
+    schema = read(spark, SF, "documents").schema
+    words = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    texts = [(3, "same text"), (7, "same text"), (7, "a wholly different text"), (9, words[0]), (9, words[0]), (9, words[1]), (None, words[1]), (None, words[2]), (5, words[2] + " more"), (5, words[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = sorted(((r.doc_id, r.text) for r in stages["exact dedup"](spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(3, "same text"), (7, "a wholly different text"), (9, words[0]), (9, words[1]), (None, words[2]), (5, words[2] + " more"), (5, words[3])], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in stages["near dedup"](spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(3, "same text"), (7, "a wholly different text"), (9, words[0]), (9, words[1]), (5, words[2] + " more"), (5, words[3])], key=str)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_nulls_and_empty_tables(spark, name):
     schema = read(spark, SF, "documents").schema
     stage = dict(corpus_pipeline.STAGES)[name]
@@ -55,4 +69,4 @@ def test_nulls_and_empty_tables(spark, name):
     if name == "packing":
         assert sum(r.length for r in out) == 3 + 1 + 1 + 1  # "x y" and four ends, some pieces cut at powers of two
     else:
-        assert len(out) == {"exact dedup": 3, "near dedup": 4}[name]
+        assert len(out) == {"toxicity": 4, "exact dedup": 2, "near dedup": 4, "decontamination": 4}[name]

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from rows import awkward, documents
-from textloom.llm.suffix_dedup import LENGTH, common_prefixes, remove_repeats, repeated_windows, suffix_ranks
+from textloom.llm.suffix_dedup import LENGTH, common_prefixes, remove_repeats, repeated_windows, suffix_ranks, window_digests
 
 
 def brute(rows, length):
@@ -81,7 +81,17 @@ def test_suffix_arrays_and_common_prefixes():
         sorted_ = [suffix(i) for i in order.tolist()]
         assert sorted_ == sorted(sorted_)
         assert (place[order] == np.arange(len(data))).all()
-        lcp = common_prefixes(data, order, place, starts, sizes, sizes, 1000)
+        lcp = common_prefixes(data, order, place, left, starts, sizes, 1000)
         for k in range(1, len(order)):
             a, b = sorted_[k - 1], sorted_[k]
             assert lcp[k] == next((n for n in range(min(len(a), len(b))) if a[n] != b[n]), min(len(a), len(b)))
+
+
+def test_window_digests_tell_windows_apart():
+    rng = random.Random(7)
+    for length in (1, 7, 64, 200):
+        data = bytes(rng.choice(b"ab") for _ in range(600)) * 2
+        digests = [tuple(d) for d in window_digests(np.frombuffer(data, np.uint8), length).tolist()]
+        texts = [data[i : i + length] for i in range(len(data) - length + 1)]
+        assert len(digests) == len(texts) and len(set(zip(digests, texts, strict=True))) == len(set(digests)) == len(set(texts))
+    assert len(window_digests(np.zeros(5, np.uint8), 9)) == 0

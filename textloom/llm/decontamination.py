@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, read
+from .common import id_text, mapped, read, resident
 
 PIECE = 64
 #: Pieces in a block of postings.
@@ -269,15 +269,8 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield [tuple(r) for r in part.collect()]
 
 
-_indexes: dict = {}
-
-
 def _index(items: list[tuple[int | None, str]]) -> Index:
-    key = hash(tuple(items))
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(items)
-    return _indexes[key]
+    return resident(("benchmark", hash(tuple(items))), lambda: Index(items))
 
 
 def _in_batch(index: Index, texts: list[str]) -> Iterator[tuple[int, list[tuple]]]:
@@ -303,7 +296,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*found, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n.endswith("_id") else pa.float64()) for n, c in zip(names, columns, strict=True)], names)
 
-        part = rows.mapInArrow(run, FOUND)
+        part = mapped(rows, run, FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -319,7 +312,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {n for n, _ in _in_batch(index, b.column(at).to_pylist())}
                 yield b.filter(pa.array([n not in bad for n in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs
 
 

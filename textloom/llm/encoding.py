@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import resident
+
 #: Entries a worker's cache holds at most (some 200 bytes each).
 CACHE_ENTRIES = 700_000
 #: Texts longer than this many characters are cut at safe boundaries before the library sees them whole.
@@ -169,11 +171,6 @@ def balanced(texts: list[str], limit: int) -> Iterable[slice]:
         yield slice(start, len(texts))
 
 
-_loaded: dict = {}
-
-
 def loaded(kind: type, path: str):
     """One encoder per worker process and file."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    return resident((kind, path), lambda: kind(path))

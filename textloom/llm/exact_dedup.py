@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, read
+from .common import id_text, mapped, read
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of contents that one table may hold; beyond it a bucket is split into FAN spill files.
@@ -165,10 +165,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [hashlib.sha256(normalised(t)).digest() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
-    groups = rows.mapInArrow(_fold, FOLDED).repartition("digest").mapInArrow(_groups, GROUPS)
+    groups = mapped(mapped(rows, _fold, FOLDED).repartition("digest"), _groups, GROUPS)
     # a hot digest's documents are split by the adaptive skew join
     return (
-        rows.select("doc_id", "text").mapInArrow(digests, "doc_id long, digest binary")
+        mapped(rows.select("doc_id", "text"), digests, "doc_id long, digest binary")
         .join(groups, "digest")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     )

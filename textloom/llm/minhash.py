@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_shuffles, id_text, keep, read
+from .common import forget, free_shuffles, id_text, join_counted, keep, mapped, read, resident
 
 ROWS, BANDS = 5, 40
 SKETCH_WORDS = 3
@@ -58,9 +58,6 @@ class _WordHashes(dict):
         return found
 
 
-_hashes = _WordHashes()
-
-
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
@@ -70,7 +67,7 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: str, size: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = text.encode().translate(LOWER).translate(SPACE).split(b" ")
-    h = np.fromiter(map(_hashes.__getitem__, [w for w in words if w]), np.uint64)
+    h = np.fromiter(map(resident("words", _WordHashes).__getitem__, [w for w in words if w]), np.uint64)
     if not len(h):
         return h
     h = _mix64(h)
@@ -174,7 +171,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
     # a hot centre's pairs are split by the adaptive skew join
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return mapped(with_both, run, "a long, b long")
 
 
 def _in_blocks(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -225,7 +223,7 @@ def _in_blocks(placed: DataFrame, texts: DataFrame, size: int, percent: int) ->
                 out = []
 
     ordered = full.select("main", "i", "j", "role", "doc_id", "component", "text").repartition("main", "i", "j").sortWithinPartitions("main", "i", "j", "role")
-    return ordered.mapInArrow(run, "a long, b long")
+    return mapped(ordered, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,7 +252,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    signed = keep(rows.mapInArrow(lambda it: sign(it, size), SIGNED), "signed")
+    signed = keep(mapped(rows, lambda it: sign(it, size), SIGNED), "signed")
 
     groups = keep(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "groups")
     members = signed.select("doc_id", "n", "d0", "d1").join(groups, ["d0", "d1"], "left").select("doc_id", "n", "rep")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, read
+from .common import id_text, mapped, read
 from .encoding import WordBpe, loaded, tokenizer_path
 
 #: Examples that wait for a place at once in one task.
@@ -178,7 +178,7 @@ def pack(rows: DataFrame, encode: Callable[[], Callable[[str], tuple[bytes, np.n
         if rest := packer.finish():
             yield table(rest)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def document_encoder(path: str, end_id: int = 1) -> Callable[[], Callable[[str], tuple[bytes, None]]]:

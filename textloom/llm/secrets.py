@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, read
+from .common import id_text, mapped, read
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 TELLING = re.compile(r"[0-9]|[a-z][A-Z]")
@@ -288,7 +288,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, FOUND)
+    return mapped(id_text(docs, id_col, text_col), run, FOUND)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

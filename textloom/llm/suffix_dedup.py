@@ -11,8 +11,9 @@ window has one. Only segments that share an anchor, but differ, need suffix arra
 Suffix arrays. A shard holds whole anchors, as many as fit SHARD_BYTES, and refines its suffixes by
 Larsson and Sadakane's doubling (in numpy, refining only groups that are still unsorted). Kasai's common prefixes, computed for all segments in step, then mark
 windows that agree with a neighbour in LENGTH bytes. The segments of a hot anchor are salted over
-several shards; each of these also returns one digest for every distinct window, and the sorted
-digests are merged by binary search, which finds windows that only shards together repeat.
+several shards; each of these also returns one digest of 128 bits for every distinct window, and the sorted
+digests are merged by binary search, which finds windows that only shards together repeat. What the
+method leaves out: a segment that recurs unchanged is known by two hashes of 64 bits and needs no suffix array.
 
 Cases: null and empty texts, and texts shorter than LENGTH, lose nothing; matches never cross texts;
 overlapping repeats in one text count; rows repeated, or with one id, are texts of their own and so
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_shuffles, keep, read
+from .common import forget, free_shuffles, join_counted, keep, mapped, read
 
 LENGTH, GRAM = 200, 32
-#: Bytes of segments in one suffix array.
-SHARD_BYTES = 3 << 20
+#: Bytes of segments in one suffix array; some 80 bytes of memory go with each.
+SHARD_BYTES = 1 << 20
 #: Bytes of texts that anchors are sought in at once.
 SLICE_BYTES = 1 << 20
 
@@ -135,27 +136,26 @@ def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
 
 
 def suffix_ranks(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks, sorted by the first depth bytes at least; suffixes end with their segment.
+    """Suffix array and ranks (int32), sorted by the first depth bytes at least; suffixes end with their segment.
 
     left: bytes from a place to its segment's end. Doubling refines only groups of equal ranks, and a
     group of one is done. Equals stay in the order of their places.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.minimum(left, 7).astype(np.uint64)
-    for i in range(7):
-        key |= np.where(left > i, padded[i : n + i], np.uint64(0)) << np.uint64(8 * (7 - i))
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-
-    def name(order: np.ndarray, new: np.ndarray, base: np.ndarray | int) -> None:
-        """A group's rank is the place of its first member."""
-        rank[order] = base + np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-
-    sorted_key = key[order]
-    name(order, np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), 0)
+    for i in range(min(7, n)):
+        byte = data[i:].astype(np.uint64)
+        byte <<= np.uint64(8 * (7 - i))
+        byte *= left[: n - i] > i
+        key[: n - i] |= byte
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    rank = np.empty(n, np.int32)
+    # a group's rank is the place of its first member
+    rank[order] = np.maximum.accumulate(np.where(np.concatenate([np.ones(min(n, 1), bool), key[1:] != key[:-1]]), np.arange(n, dtype=np.int32), 0))
+    del key
     have = 7
-    open_ = np.arange(n)  # places in the array whose groups are not single
+    open_ = np.arange(n, dtype=np.int32)  # places in the array whose groups are not single
     while have < depth:
         group = rank[order[open_]]
         same = group[1:] == group[:-1]
@@ -164,31 +164,30 @@ def suffix_ranks(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nda
             break
         members = order[open_]
         group = rank[members]
-        nxt = members + have
-        second = np.where(left[members] > have, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        by = np.argsort(group * (n + 1) + second, kind="stable")
+        second = np.where(left[members] > have, rank[np.minimum(members + have, n - 1)] + 1, 0)
+        by = np.argsort(group.astype(np.int64) * (n + 1) + second, kind="stable")
         members, group, second = members[by], group[by], second[by]
         order[open_] = members
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
         rank[members] = open_[np.maximum.accumulate(np.where(new, np.arange(len(members)), 0))]
         have *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     return order, place
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, left: np.ndarray, starts: np.ndarray, steps: np.ndarray, cap: int) -> np.ndarray:
     """Kasai's: the length, up to cap, that a suffix shares with the one before it in the array.
 
     Each segment's suffixes are visited from left to right, all segments in step: what suffix i shares
     is at least what suffix i - 1 shared, less one. Only the first steps suffixes of a segment are visited.
     """
-    n = len(data)
-    left = np.repeat(starts + sizes, sizes) - np.arange(n)
-    lcp = np.zeros(n, np.int64)  # by place in the array
-    held = np.zeros(len(starts), np.int64)
-    for t in range(int(steps.max(initial=0))):
-        live = np.flatnonzero(steps > t)
+    lcp = np.zeros(len(data), np.int32)  # by place in the array
+    held = np.zeros(len(starts), np.int32)
+    longest = np.argsort(-steps, kind="stable")
+    counts = np.searchsorted(-steps[longest], -np.arange(int(steps.max(initial=0))), "left")
+    for t, n in enumerate(counts.tolist()):
+        live = longest[:n]
         i = starts[live] + t
         at = place[i]
         j = order[np.maximum(at - 1, 0)]
@@ -208,20 +207,46 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, star
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Of each segment, whether the window at each of its places starts elsewhere in the parts too."""
-    sizes = np.array([len(p) for p in parts], np.int64)
-    starts = np.cumsum(sizes) - sizes
+    sizes = np.array([len(p) for p in parts], np.int32)
+    ends = np.cumsum(sizes, dtype=np.int32)
+    starts = ends - sizes
     data = np.frombuffer(b"".join(parts), np.uint8)
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(data))
+    left = np.repeat(ends, sizes) - np.arange(len(data), dtype=np.int32)
     # to the full depth: what a suffix shares bounds what the next one shares only in a finished order
     order, place = suffix_ranks(data, left, int(sizes.max(initial=0)))
     windows = np.maximum(sizes - length + 1, 0)
     # a window's other half may lie before or after it: the one after it has it as predecessor
-    lcp = common_prefixes(data, order, place, starts, sizes, windows, length)
+    lcp = common_prefixes(data, order, place, left, starts, windows, length)
     hit = np.zeros(len(data), bool)
     found = np.flatnonzero(lcp >= length)
     hit[order[found]] = True
     hit[order[found - 1]] = True
-    return [hit[s : s + w] for s, w in zip(starts, windows, strict=True)]
+    return [hit[s : s + w] for s, w in zip(starts.tolist(), windows.tolist(), strict=True)]
+
+
+def window_digests(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """(windows, 2) uint64: a digest of the length bytes from each place on, from two seeds."""
+    out = np.empty((max(0, len(data) - length + 1), 2), np.uint64)
+    for seed in (0, 1):
+        total = np.full(len(out), length, np.uint64)
+        h, size = (_BYTES + np.uint64(seed)) * _M1 if seed else _BYTES, 1
+        h, at = h[data], 0
+        while size <= length:
+            if length & size:  # the window's next size bytes
+                total += h[at : at + len(out)]
+                total *= _M2
+                total ^= total >> np.uint64(29 + seed)
+                at += size
+            if 2 * size <= length:
+                a = h[:-size] * _M1
+                a ^= a >> np.uint64(29)
+                a += h[size:]
+                a *= _M2
+                a ^= a >> np.uint64(32)
+                h = a
+            size *= 2
+        out[:, seed] = total
+    return out
 
 
 SHARDED = "anchor long, content long, first int, n int, digest binary"
@@ -235,33 +260,51 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _suffix_shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of sorted segments; of hot anchors also each distinct window's digest (n = 0)."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     rows: list[tuple] = []
-    size = 0
-    last = None
+    group: list[tuple] = []  # the anchor, or the salted part of a hot one, that is still arriving
+    sizes = {"rows": 0, "group": 0}
 
     def solve() -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        seen: set[bytes] = set()
-        for (anchor, content, hot, _, text), flags in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True):
-            for s, n in zip(*_spans(flags), strict=True):
-                out.append((anchor, content, int(s), int(n), None))
-            for i in range(len(text) - length + 1) if hot else ():
-                digest = hashlib.blake2b(text[i : i + length], digest_size=16).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    out.append((anchor, content, i, 0, digest))
+        for (anchor, content, *_), flags in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True):
+            out += [(anchor, content, s, n, None) for s, n in zip(*(x.tolist() for x in _spans(flags)), strict=True)]
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "content", "first", "n", "digest"])
+        hot = [r for r in rows if r[2]]
+        if not hot:
+            return
+        places = np.concatenate([np.arange(len(r[4]) - length + 1, dtype=np.int32) for r in hot])
+        owners = np.repeat(np.arange(len(hot)), [len(r[4]) - length + 1 for r in hot])
+        long_ = np.array([len(r[4]) for r in hot])
+        joined = window_digests(np.frombuffer(b"".join(r[4] for r in hot), np.uint8), length)
+        digests = joined[(np.cumsum(long_) - long_)[owners] + places]
+        del joined
+        first = np.unique(digests.view([("a", "u8"), ("b", "u8")]).ravel(), return_index=True)[1]
+        for lo in range(0, len(first), 50_000):
+            own = first[lo : lo + 50_000]
+            of = owners[own]
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(digests[own].astype(">u8").tobytes())]).cast(pa.binary())
+            columns = [pa.array(np.array([r[k] for r in hot], np.int64)[of]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(places[own]), pa.array(np.zeros(len(own), np.int32)), packed], ["anchor", "content", "first", "n", "digest"])
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        """The complete group joins the shard, a new one if it doesn't fit."""
+        nonlocal rows, group
+        if rows and sizes["rows"] + sizes["group"] > shard_bytes:
+            yield from solve()
+            rows, sizes["rows"] = [], 0
+        rows += group
+        sizes["rows"] += sizes["group"]
+        group, sizes["group"] = [], 0
 
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "hot", "salt", "segment")), strict=True):
-            if size >= shard_bytes and (row[0], row[3]) != last:
-                yield from solve()
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[4])
-            last = (row[0], row[3])
+            if group and (row[0], row[3]) != (group[0][0], group[0][3]):
+                yield from settle()
+            group.append(row)
+            sizes["group"] += len(row[4])
+    yield from settle()
     if rows:
         yield from solve()
 
@@ -340,30 +383,33 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def repeated_runs(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(row, at, n): runs of n repeated windows, of rows (row long, unique; text binary)."""
     spark = rows.sparkSession
-    found = keep(rows.select("row", "text").mapInArrow(lambda it: _anchored(it, length), SEGMENTS), "segments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    shared = keep(found.join(often, "anchor"), "shared")
+    found = keep(mapped(rows.select("row", "text"), lambda it: _anchored(it, length), SEGMENTS), "segments")
+    often = keep(found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+    shared = keep(join_counted(found, often, ["anchor"], F.col("c")).drop("c"), "shared")
     free_shuffles(spark)
     forget(found)
+    forget(often)
 
     distinct = shared.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("row", "start", "windows")).alias("one"))
     distinct = keep(distinct.select("anchor", "content", "c", "one.*"), "distinct")
     # anchors with several contents, some of which occur once
     unsure = distinct.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("c").alias("least"), F.sum(F.col("windows").cast("long") + length).alias("size")).filter("contents > 1 AND least = 1")
-    unsure = unsure.select("anchor", F.ceil(F.col("size") / shard_bytes).cast("int").alias("parts"))
-    wanted = distinct.join(unsure, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "start", "windows", "parts")).alias("wanted"))
-    cut = keep(rows.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(lambda it: _cut(it, length), "anchor long, content long, parts int, segment binary"), "cut")
+    unsure = keep(unsure.select("anchor", "contents", F.ceil(F.col("size") / shard_bytes).cast("int").alias("parts")), "unsure")
+    wanted = join_counted(distinct, unsure, ["anchor"], F.col("contents")).groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "start", "windows", "parts")).alias("wanted"))
+    cut = keep(mapped(rows.select("row", "text").join(wanted, "row").select("text", "wanted"), lambda it: _cut(it, length), "anchor long, content long, parts int, segment binary"), "cut")
     free_shuffles(spark)
 
     salted = cut.select("anchor", "content", (F.col("parts") > 1).alias("hot"), F.pmod(F.col("content"), F.col("parts")).cast("int").alias("salt"), "segment")
-    sharded = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "content").mapInArrow(lambda it: _suffix_shards(it, length, shard_bytes), SHARDED)
-    sharded = keep(sharded, "sharded")
-    merged = sharded.filter("n = 0").repartition("digest").sortWithinPartitions("digest").mapInArrow(_merge_shards, "anchor long, content long, first int").withColumn("n", F.lit(1))
+    salted = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "content")
+    sharded = keep(mapped(salted, lambda it: _suffix_shards(it, length, shard_bytes), SHARDED), "sharded")
+    merged = mapped(sharded.filter("n = 0").repartition("digest").sortWithinPartitions("digest"), _merge_shards, "anchor long, content long, first int").withColumn("n", F.lit(1))
     some = sharded.filter("n > 0").select("anchor", "content", "first", "n").unionByName(merged)
-    runs = keep(distinct.filter("c > 1").select("anchor", "content", F.lit(0).alias("first"), F.col("windows").alias("n")).unionByName(some.join(distinct.filter("c = 1").select("anchor", "content"), ["anchor", "content"], "left_semi")), "runs")
-    out = keep(shared.join(runs, ["anchor", "content"]).select("row", (F.col("start") + F.col("first")).alias("at"), "n"), "places")
+    # a content that recurs is a run wherever it stands; one that occurs once has its place in distinct
+    recurring = join_counted(shared.select("row", "anchor", "content", "start"), distinct.filter("c > 1").select("anchor", "content", "c", F.col("windows").alias("n")), ["anchor", "content"], F.col("c"))
+    single = some.join(distinct.filter("c = 1").select("anchor", "content", "row", "start"), ["anchor", "content"])
+    out = keep(recurring.select("row", F.col("start").alias("at"), "n").unionByName(single.select("row", (F.col("start") + F.col("first")).alias("at"), "n")), "places")
     free_shuffles(spark)
-    for table in (shared, distinct, cut, sharded, runs):
+    for table in (shared, distinct, unsure, cut, sharded):
         forget(table)
     return out
 
@@ -382,7 +428,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = numbered(docs, id_col, text_col)
     runs = repeated_runs(rows, length, shard_bytes).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    return rows.join(runs, "row", "left").select("doc_id", "text", "runs").mapInArrow(lambda it: _removed(it, length), REMOVED)
+    return mapped(rows.join(runs, "row", "left").select("doc_id", "text", "runs"), lambda it: _removed(it, length), REMOVED)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, read
+from .common import id_text, mapped, read
 from .encoding import PieceCounter, balanced, loaded, tokenizer_path
 
 #: Characters that one slice of a batch holds, unless one text is longer.
@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = id_text(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return mapped(rows, run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op8(spark, sf_dir: str, limit: int = 4096, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, read
+from .common import crc_mod, id_text, mapped, read, resident
 
 #: Labelled documents of each class that training uses at most, by hash order.
 TRAIN_DOCS = 2500
@@ -199,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, out: int | None = 1
     if not len(ids):
         return Model({})
     sent = F.broadcast(docs.sparkSession.createDataFrame(ids))
-    found = id_text(docs).filter(F.char_length("text") <= TRAIN_CHARS).join(sent, "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id").drop_duplicates("text")
+    # of rows with one id the smallest text: at most 2 * per_class texts reach the driver
+    found = id_text(docs).filter(F.char_length("text") <= TRAIN_CHARS).join(sent, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("one"))
+    found = found.select("doc_id", "one.*").toPandas().sort_values("doc_id").drop_duplicates("text")
     return fit(found["text"].tolist(), found["toxic"].tolist())
 
 
@@ -212,17 +214,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(own.score, b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double")
-
-
-_model: list = [None, None]
+    return mapped(id_text(docs), run, "doc_id long, score double")
 
 
 def _resident(weights: dict[int, float]) -> Model:
     """The worker's model with its cache of words."""
-    if _model[0] != weights:
-        _model[:] = [weights, Model(weights)]
-    return _model[1]
+    return resident(("toxicity", hash(tuple(weights.items()))), lambda: Model(weights))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -234,7 +231,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for b in batches:
             yield b.filter(pa.array([own.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch
+from .common import mapped, read, scratch
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
@@ -136,7 +136,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([payload_digest(p) for p in b.column("payload").to_pylist()], pa.string())], schema=_arrow(DIGESTED))
 
-    found = rows.mapInArrow(digests, DIGESTED)
+    found = mapped(rows, digests, DIGESTED)
     first = found.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first"))
     # the payloads of a hot digest are split by the adaptive skew join
     return found.join(first, "digest").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
@@ -156,7 +156,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
 
     # a retried task writes its file anew, with new keys throughout; segments never leave their task
     keyed = pages.select("page_id", "url", "payload", "digest", "refers_to", F.expr("uuid()").alias("key"))
-    lines = keyed.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = mapped(keyed, run, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -172,7 +172,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, schema)
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, RECORDS)
+    found = mapped(spark.read.format("binaryFile").load(path).select("content"), split, RECORDS)
     # one group is one record's segments
     parts = found.filter("origin IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "type", "record_id", "refers_to", "digest", "total", "block"))).alias("parts"))
     numbers, last = F.transform("parts", lambda p: p["segment"]), F.element_at("parts", -1)
@@ -189,7 +189,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = [http_payload(m) for m in b.column("block").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([p for p, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["type", "record_id", "refers_to", "digest", "payload", "stated"])
 
-    return records.mapInArrow(decode, "type string, record_id string, refers_to string, digest string, payload binary, stated long")
+    return mapped(records, decode, "type string, record_id string, refers_to string, digest string, payload binary, stated long")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -9,19 +9,32 @@ again as the next stage's docs. All but the last return the columns of documents
 4. decontamination: documents that hold a benchmark item go.
 5. packing: what remains, in sequences of 2048 tokens.
 
-Null texts count as empty; rows without an id are never taken for copies; empty tables pass through.
+Null texts count as empty; empty tables pass through. Of copies one row stays, whatever the ids: where ids are
+missing or repeated, rows are numbered in the order of their ids (missing ones last), then texts.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, exact_dedup, minhash, packing, toxicity
 from textloom.llm.common import keep, read
 from textloom.llm.encoding import tokenizer_path
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs less the rows that a judgement (doc_id, kept) drops."""
-    return docs.join(judged.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _one_of_each(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs less the rows that a judgement (doc_id, kept), made by row number, drops."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    unclear = docs.groupBy("doc_id").agg(F.count("*").alias("rows_of_id")).filter("rows_of_id > 1 OR doc_id IS NULL")
+    if unclear.limit(1).count():
+        numbered = keep(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn(row, F.monotonically_increasing_id()), "numbered")
+    else:
+        numbered = docs.withColumn(row, F.col("doc_id"))
+    dropped = judge(numbered, row).filter("NOT kept").select(F.col("doc_id").alias(row))
+    return numbered.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +42,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_groups(docs))
+    return _one_of_each(docs, lambda rows, row: exact_dedup.exact_groups(rows, id_col=row))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_groups(docs, size=5))
+    return _one_of_each(docs, lambda rows, row: minhash.near_groups(rows, size=5, id_col=row))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

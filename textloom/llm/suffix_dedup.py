@@ -249,7 +249,9 @@ def window_digests(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return out
 
 
-SHARDED = "anchor long, content long, first int, n int, digest binary"
+SHARDED = "anchor long, content long, first int, n int, run binary"
+#: An entry of a run of distinct windows, and the bytes of entries that one task merges at a time.
+ENTRY, MERGE_BYTES = np.dtype([("high", "<u8"), ("low", "<u8"), ("anchor", "<i8"), ("content", "<i8"), ("first", "<i4")]), 4 << 20
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,8 +260,11 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def _suffix_shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of sorted segments; of hot anchors also each distinct window's digest (n = 0)."""
+def _suffix_shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of sorted segments; of hot anchors also the distinct windows by digest.
+
+    The latter are sorted runs of entries (n = 0), one for each range of digests (first: its number).
+    """
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     rows: list[tuple] = []
     group: list[tuple] = []  # the anchor, or the salted part of a hot one, that is still arriving
@@ -269,24 +274,12 @@ def _suffix_shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
         out: list[tuple] = []
         for (anchor, content, *_), flags in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True):
             out += [(anchor, content, s, n, None) for s, n in zip(*(x.tolist() for x in _spans(flags)), strict=True)]
+        if hot := [r for r in rows if r[2]]:
+            run = _run(hot, length)
+            cuts = np.searchsorted(run["high"], _bounds(ranges), "left").tolist()
+            out += [(None, None, k, 0, run[i:j].tobytes()) for k, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(run)], strict=True)) if j > i]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "content", "first", "n", "digest"])
-        hot = [r for r in rows if r[2]]
-        if not hot:
-            return
-        places = np.concatenate([np.arange(len(r[4]) - length + 1, dtype=np.int32) for r in hot])
-        owners = np.repeat(np.arange(len(hot)), [len(r[4]) - length + 1 for r in hot])
-        long_ = np.array([len(r[4]) for r in hot])
-        joined = window_digests(np.frombuffer(b"".join(r[4] for r in hot), np.uint8), length)
-        digests = joined[(np.cumsum(long_) - long_)[owners] + places]
-        del joined
-        first = np.unique(digests.view([("a", "u8"), ("b", "u8")]).ravel(), return_index=True)[1]
-        for lo in range(0, len(first), 50_000):
-            own = first[lo : lo + 50_000]
-            of = owners[own]
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(digests[own].astype(">u8").tobytes())]).cast(pa.binary())
-            columns = [pa.array(np.array([r[k] for r in hot], np.int64)[of]) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(places[own]), pa.array(np.zeros(len(own), np.int32)), packed], ["anchor", "content", "first", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "content", "first", "n", "run"])
 
     def settle() -> Iterator[pa.RecordBatch]:
         """The complete group joins the shard, a new one if it doesn't fit."""
@@ -309,36 +302,53 @@ def _suffix_shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
         yield from solve()
 
 
-def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by digest: those whose digest binary search finds more than once."""
-    held: pa.RecordBatch | None = None
+def _bounds(ranges: int) -> np.ndarray:
+    """Where ranges of the digests' high halves begin, but for the first."""
+    return np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
+
+
+def _run(segments: list[tuple], length: int) -> np.ndarray:
+    """The distinct windows of segments, sorted by digest."""
+    long = np.array([len(r[4]) for r in segments])
+    counts = np.maximum(long - length + 1, 0)
+    owners = np.repeat(np.arange(len(segments)), counts)
+    places = np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts)
+    digests = window_digests(np.frombuffer(b"".join(r[4] for r in segments), np.uint8), length)[(np.cumsum(long) - long)[owners] + places]
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    digests = digests[order]
+    new = np.concatenate([np.ones(min(1, len(order)), bool), (digests[1:] != digests[:-1]).any(axis=1)])
+    order, out = order[new], np.empty(int(new.sum()), ENTRY)
+    out["high"], out["low"], out["first"] = digests[new, 0], digests[new, 1], places[order]
+    for k, name in enumerate(("anchor", "content")):
+        out[name] = np.array([r[k] for r in segments], np.int64)[owners[order]]
+    return out
 
-    def search(b: pa.RecordBatch) -> pa.RecordBatch:
-        digests = np.frombuffer(b"".join(b.column("digest").to_pylist()), ">u8").reshape(-1, 2)
-        high, low = digests[:, 0].astype(np.uint64), digests[:, 1].astype(np.uint64)
+
+def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by range: entries whose digest binary search finds in several."""
+    held: list[bytes] = []
+    last = None
+
+    def merge() -> Iterator[pa.RecordBatch]:
+        entries = np.frombuffer(b"".join(held), ENTRY)
+        entries = entries[np.lexsort((entries["low"], entries["high"]))]
+        high, low = np.ascontiguousarray(entries["high"]), entries["low"]
         first, end = np.searchsorted(high, high, "left"), np.searchsorted(high, high, "right")
         twice = np.zeros(len(high), bool)
-        for i in np.flatnonzero(end - first > 1):
+        for i in np.flatnonzero(end - first > 1).tolist():
             part = low[first[i] : end[i]]
             twice[i] = np.searchsorted(part, low[i], "right") - np.searchsorted(part, low[i], "left") > 1
-        return b.filter(pa.array(twice)).select(["anchor", "content", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(entries[name][twice])) for name in ("anchor", "content", "first")], ["anchor", "content", "first"])
 
     for b in batches:
-        if not b.num_rows:
-            continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        last = b.column("digest")[-1].as_py()
-        n = b.num_rows
-        cut = n - 1
-        digests = b.column("digest")
-        while cut and digests[cut - 1].as_py() == last:
-            cut -= 1
-        if cut:
-            yield search(b.slice(0, cut))
-        held = b.slice(cut)
-    if held is not None:
-        yield search(held)
+        for number, run in zip(b.column("first").to_pylist(), b.column("run").to_pylist(), strict=True):
+            if held and number != last:
+                yield from merge()
+                held = []
+            held.append(run)
+            last = number
+    if held:
+        yield from merge()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -399,10 +409,12 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
     cut = keep(mapped(rows.select("row", "text").join(wanted, "row").select("text", "wanted"), lambda it: _cut(it, length), "anchor long, content long, parts int, segment binary"), "cut")
     free_shuffles(spark)
 
+    hot_parts = unsure.filter("parts > 1").agg(F.sum(F.col("parts").cast("long"))).first()[0] or 0
+    ranges = max(16, -(-hot_parts * shard_bytes * ENTRY.itemsize // MERGE_BYTES))
     salted = cut.select("anchor", "content", (F.col("parts") > 1).alias("hot"), F.pmod(F.col("content"), F.col("parts")).cast("int").alias("salt"), "segment")
     salted = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "content")
-    sharded = keep(mapped(salted, lambda it: _suffix_shards(it, length, shard_bytes), SHARDED), "sharded")
-    merged = mapped(sharded.filter("n = 0").repartition("digest").sortWithinPartitions("digest"), _merge_shards, "anchor long, content long, first int").withColumn("n", F.lit(1))
+    sharded = keep(mapped(salted, lambda it: _suffix_shards(it, length, shard_bytes, ranges), SHARDED), "sharded")
+    merged = mapped(sharded.filter("n = 0").select("first", "run").repartition("first").sortWithinPartitions("first"), _merge_shards, "anchor long, content long, first int").withColumn("n", F.lit(1))
     some = sharded.filter("n > 0").select("anchor", "content", "first", "n").unionByName(merged)
     # a content that recurs is a run wherever it stands; one that occurs once has its place in distinct
     recurring = join_counted(shared.select("row", "anchor", "content", "start"), distinct.filter("c > 1").select("anchor", "content", "c", F.col("windows").alias("n")), ["anchor", "content"], F.col("c"))

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rows import awkward, by_id, documents
 from textloom.llm import maxent
+from textloom.llm.common import keep, mapped
 from textloom.llm.maxent import scores
 
 
@@ -29,11 +31,11 @@ def base(rows):
     return out
 
 
-@pytest.mark.parametrize("head", [maxent.HEAD, 40])
-def test_base_scores_against_brute_force(spark, monkeypatch, head):
-    monkeypatch.setattr(maxent, "HEAD", head)  # 40: most words are rare ones, which a join scores
+@pytest.mark.parametrize("most", [maxent.HEAD, 40])
+def test_base_scores_against_brute_force(spark, most):
+    # 40: most words are rare ones, which a join scores
     rows = [(i, t) for i, t in awkward() if i not in (None, 16)]
-    found = by_id(scores(documents(spark, rows)))
+    found = by_id(scores(documents(spark, rows), most=most))
     wanted = base(rows)
     assert found.keys() == wanted.keys()
     for i, (out, n, known, train, score) in wanted.items():
@@ -51,33 +53,135 @@ def test_edges(spark):
     assert len(found) == 3 and {r.train_tokens for r in found} == {8}
 
 
-def test_probabilities_of_all_words_sum_to_one():
-    counts = Counter({b"the": 50, b"of": 30, b"cat": 7, b"hat": 2, b"dog": 1, maxent.END: 20})
+def hashed(key, bits):
+    return ((key + 1) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
+
+
+def softmax(table, rows, prior):
+    z = prior.astype(float) + sum(table[r].astype(float) for r in rows)
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def sections(keys, bits, base=0):
+    out = []
+    for key, b in zip(keys, bits, strict=True):
+        out.append(base + hashed(key, b))
+        base += 1 << b
+    return out
+
+
+def slow(model, counts, text):
+    """log10 P(text), one token at a time, and its parts: (rows of the class table, class, rows of the word table, slot)."""
+    v, before, total, parts = model.vocabulary, [maxent.START] * 2, 0.0, []
+    for w in maxent.words_of(text):
+        i = v[w]
+        k, slot = int(v.classes[i]), int(v.slots[i])
+        keys = [before[-1], before[-2], before[-2] * 65536 + before[-1]]
+        rows, g = sections(keys, maxent.CLASS_BITS), k - maxent.SINGLE
+        p = softmax(model.class_table, rows, model.class_prior)[k]
+        word_rows = sections(keys, maxent.WORD_BITS, g * maxent.WORD_ROWS) if g >= 0 else None
+        if g >= 0:
+            p *= softmax(model.word_table, word_rows, model.word_prior[g])[slot]
+        if i >= maxent.RARE:
+            p *= (counts.get(w, 0) + 0.1) / (model.rare[0, k] + 0.1 * (model.rare[1, k] + 1))
+        total += math.log10(p)
+        parts.append((rows, k, word_rows, slot))
+        before.append(i)
+    return total, parts
+
+
+@pytest.mark.parametrize("most", [maxent.HEAD, 60])
+def test_scores_against_a_slow_model(spark, most):
+    rows = [(i, t if t is None else t[:3000]) for i, t in awkward()]
+    docs = maxent.rows_of(documents(spark, rows))
+    counts = keep(spark.createDataFrame(list(Counter(w for i, t in rows if not held(i) for w in maxent.words_of(t or "")).items()), "word binary, c long"), "counts")
+    model, encoded = maxent.train(counts, lambda words: keep(mapped(docs, maxent._encode(words), maxent.ENCODED), "encoded"), most=most)
+    assert np.abs(model.weights).max() > 0.1
+    have = {bytes(r.word): r.c for r in counts.collect()}
+    scored = maxent.scored(model, encoded, counts).collect()
+    assert sorted(str(r.doc_id) for r in scored) == sorted(str(i) for i, _ in rows)
+    wanted = {t or "": slow(model, have, t or "")[0] for _, t in rows}
+    texts = {i: t or "" for i, t in rows if i not in (None, 16)}
+    for r in scored:
+        if r.doc_id in texts:
+            assert r.score == pytest.approx(wanted[texts[r.doc_id]], rel=1e-4, abs=1e-3)
+
+
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    counts = {b"w%d" % i: int(900 / (i + 1)) + 1 for i in range(300)} | {maxent.END: 40}
     head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-    tokens, distinct = np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES)
-    for i, (w, c) in enumerate(head):
-        k = i if i < maxent.SINGLE else maxent.ending_class(w)
-        tokens[k] += c
-        distinct[k] += 1
-    v = maxent.Vocabulary(head, sum(counts.values()), len(counts), tokens, distinct)
-    # any table: the softmax is over classes, and each class shares its probability out completely
-    rng = np.random.default_rng(0)
-    table = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    ids, places = v.encode([[b"the", b"cat", b"unseen", maxent.END]])
-    classes = v.classes[ids]
-    classes[ids == v.start] = maxent.CLASSES
-    p = maxent.class_probabilities(table, v.prior, maxent.features(ids, classes, places))
-    assert p.sum(axis=1) == pytest.approx(np.ones(4), abs=1e-5)
-    within = np.where(np.arange(maxent.CLASSES) < maxent.SINGLE, tokens > 0, True).astype(float)
-    for k in range(maxent.SINGLE, maxent.CLASSES):
-        own = [c for i, (w, c) in enumerate(head) if i >= maxent.SINGLE and maxent.ending_class(w) == k]
-        total = sum(own) + maxent.ADD * (len(own) + 1)
-        assert sum((c + maxent.ADD) / total for c in own) + maxent.ADD / total == pytest.approx(1)
-    assert (p * within).sum(axis=1) == pytest.approx(np.ones(4), abs=1e-5)
-
-
-def test_the_model_beats_the_base_on_held_out_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = [r for r in scores(docs).collect() if r.held_out and r.n_tokens > 50]
-    assert len(found) > 30
-    assert sum(r.score for r in found) > sum(r.base_score for r in found) * 0.98
+    rare = np.zeros((2, maxent.CLASSES))
+    rare[:, maxent.SINGLE :] = [[7.0], [3.0]]
+    return maxent.Model(head, rare, rng.normal(size=maxent.WEIGHTS).astype(np.float32))
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    m = small_model()
+    ids, places = maxent._joined([np.array([0, 40, maxent.RARE + 50, 200, 5], np.uint16).tobytes()])
+    now = m.vocabulary.classes[ids[places]]
+    rows, _ = maxent.features(ids, places, now - maxent.SINGLE)
+    p = maxent.probabilities(m.class_table, m.class_prior, rows)
+    within = np.ones((len(places), maxent.CLASSES))
+    for g in range(maxent.GROUPS):
+        _, word_rows = maxent.features(ids, places, np.full(len(places), g))
+        q = maxent.probabilities(m.word_table, np.repeat(m.word_prior[g : g + 1], len(places), 0), word_rows)
+        own = [i for i in range(len(m.head)) if m.vocabulary.classes[i] == maxent.SINGLE + g]
+        k = maxent.SINGLE + g
+        shares = (m.rare[0, k] + 0.1 * m.rare[1, k] + 0.1) / (m.rare[0, k] + 0.1 * (m.rare[1, k] + 1))
+        within[:, k] = q[:, m.vocabulary.slots[own]].sum(axis=1) + q[:, -1] * shares
+    assert (p * within).sum(axis=1) == pytest.approx(np.ones(len(places)), abs=1e-4)
+
+
+def test_gradient_against_a_slow_sum():
+    m = small_model(1)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 301, 30).astype(np.uint16).tobytes() for _ in range(6)]
+    out = np.zeros(maxent.WEIGHTS)
+    for b in maxent._gradient(lambda: m)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["ids"])])):
+        for k, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
+            part = np.frombuffer(data, np.float32)
+            out[k * maxent.BLOCK : k * maxent.BLOCK + len(part)] += part
+    words = [w for w, _ in m.head]
+    wanted = np.zeros(maxent.WEIGHTS)
+    classes, inner = wanted[: maxent.CLASS_WEIGHTS].reshape(-1, maxent.CLASSES), wanted[maxent.CLASS_WEIGHTS :].reshape(-1, maxent.SLOTS)
+    for t in texts:
+        before = [maxent.START] * 2
+        for i in np.frombuffer(t, np.uint16).tolist():
+            k, slot = int(m.vocabulary.classes[i]), int(m.vocabulary.slots[i])
+            keys = [before[-1], before[-2], before[-2] * 65536 + before[-1]]
+            rows, g = sections(keys, maxent.CLASS_BITS), k - maxent.SINGLE
+            p = softmax(m.class_table, rows, m.class_prior)
+            for r in rows:
+                classes[r] -= p
+                classes[r, k] += 1
+            if g >= 0:
+                rows = sections(keys, maxent.WORD_BITS, g * maxent.WORD_ROWS)
+                p = softmax(m.word_table, rows, m.word_prior[g])
+                for r in rows:
+                    inner[r] -= p
+                    inner[r, slot] += 1
+            before.append(i)
+    assert len(words) == 301 and np.abs(out - wanted).max() < 1e-3
+
+
+def test_the_model_beats_an_interpolated_bigram_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r.doc_id, maxent.words_of(r.text or "")) for r in docs.collect()]
+    counts, pairs = Counter(), {}
+    for i, own in rows:
+        if not held(i):
+            counts.update(own)
+            for a, b in zip([None, *own], own, strict=False):
+                pairs.setdefault(a, Counter())[b] += 1
+    n, v, bigram = sum(counts.values()), len(counts), 0.0
+    for i, own in rows:
+        if held(i):
+            for a, b in zip([None, *own], own, strict=False):
+                alone, after = (counts[b] + 0.1) / (n + 0.1 * (v + 1)), pairs.get(a, Counter())
+                bigram += math.log10((after[b] + 10 * alone) / (after.total() + 10))
+    found = [r for r in scores(docs).collect() if r.held_out]
+    assert len(found) > 50
+    assert sum(r.score for r in found) > bigram > sum(r.base_score for r in found)
+    print(f"held out, log10 a token: model {sum(r.score for r in found) / sum(r.n_tokens for r in found):.3f}, bigram {bigram / sum(r.n_tokens for r in found):.3f}, base {sum(r.base_score for r in found) / sum(r.n_tokens for r in found):.3f}")

@@ -1,18 +1,20 @@
 """Scoring by a hashed maximum-entropy language model.
 
-P(word | context) = P(class | context) * P(word | class). The class factor is a log-linear model over
-hashed features of the context: the word before, the two words before as a pair, a skip pair, and the
-word before last. The word factor is a smoothed share within the class. The most frequent words
-are classes of their own; every other word, seen or not, belongs to a class by its ending, and each of
-those classes has one outcome for unseen words, so all probabilities sum to 1.
-
-Training is a sequence of passes over all training documents. Each pass sums something on the
-executors: word counts; observed counts of (feature, class), the constant half of the likelihood's
-gradient; then, ROUNDS times, expected counts under the current weights, the other half, after which the
-weights move along the scaled gradient log(observed / expected) / features (iterative scaling).
-Tables of features and the HEAD most frequent words have fixed sizes; they are all that executors are
-sent. Counts of rarer words never leave the cluster: a scoring pass gives each document's rare words,
-which are joined with their counts.
+P(word | context) = P(class | context) * P(word | class, context), both factors log-linear in hashed features of
+the context: the word before, the word before that (a skip feature), and both as a pair. The
+most frequent words are classes of their own; the other frequent words, ordered by their endings, are cut into
+classes of equal size. Every other word, seen or not, belongs to the class into whose endings it
+falls; there it shares one outcome, within which its probability is its smoothed share of the counts.
+An outcome for unseen words is among these, so all probabilities sum to 1.
+
+Training: word counts; then each document once as an array of ids, which all later passes read. A pass over
+all training documents counts features with outcomes, from which the weights start. Then ROUNDS synchronous gradient
+updates, each from another part of the training documents, so that every one takes part in one: tasks
+sum observed less expected counts under the current weights, and each weight moves along its sum,
+scaled by how often it was observed.
+
+The tables of features and the frequent words have fixed sizes (some 30 MB); they are all that executors are
+sent. Counts of rarer words grow with the corpus and never leave the cluster: they are joined with each document's rare words.
 
 Cases: null and empty texts have the end token alone; a null id is held out; repeated rows are scored
 each, and learnt from each; with no training documents every token has the base probability of an
@@ -21,29 +23,38 @@ unknown word; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import zlib
+import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_shuffles, keep, read
-
-#: Words that executors are sent; classes of one word; classes by ending.
-HEAD, SINGLE, ENDINGS = 200_000, 32, 32
-CLASSES = SINGLE + ENDINGS
-#: Rows of the hashed table, features of a context, rows in a block when tables are summed.
-ROWS, FEATURES, BLOCK = 8192, 4, 64
-ROUNDS = 1
+from .common import crc_mod, free_shuffles, keep, mapped, read, resident
+
+#: Classes of one word; classes by ending, and their outcomes (the last one: all rarer words).
+SINGLE, GROUPS, SLOTS = 32, 128, 64
+CLASSES, HEAD = SINGLE + GROUPS, SINGLE + GROUPS * (SLOTS - 1)
+#: Ids: words of the head, then rarer words by their classes, then what stands before a text.
+RARE, START = HEAD, HEAD + CLASSES
+#: Bits of each feature's own rows: for classes, and for the words of one class.
+CLASS_BITS, WORD_BITS = (13, 12, 13), (8, 7, 7)
+CLASS_ROWS, WORD_ROWS = sum(1 << b for b in CLASS_BITS), sum(1 << b for b in WORD_BITS)
+#: Weights of both tables, and of one block when tables are summed.
+CLASS_WEIGHTS = CLASS_ROWS * CLASSES
+WEIGHTS, BLOCK = CLASS_WEIGHTS + GROUPS * WORD_ROWS * SLOTS, 1 << 16
+ROUNDS, RATE = 3, 0.4
+#: Prior observations of a feature, and the share of its own log-odds that a weight starts with.
+PRIOR, SHARE = 5.0, 0.35
 ADD = 0.1
 END = b"\n"
-#: Words distinguished as context; others count by their class.
-CONTEXT_WORDS = 4000
-#: Tokens that one array operation takes.
-CHUNK = 8192
+#: Tokens that one array operation takes, and that are held at once.
+CHUNK, HELD = 4096, 200_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -53,61 +64,84 @@ def words_of(text: str) -> list[bytes]:
     return words
 
 
-def ending_class(word: bytes) -> int:
-    return SINGLE + zlib.crc32(word[-2:]) % ENDINGS
-
+class Vocabulary(dict):
+    """word -> id; head: (word, count) by falling count. Rarer words are classed when asked for."""
 
-class _Ids(dict):
-    """word -> its place in the head, or HEAD + its class."""
+    def __init__(self, head: list[tuple[bytes, int]]):
+        super().__init__((w, i) for i, (w, _) in enumerate(head))
+        self.classes = np.zeros(START + 1, np.int64)
+        self.slots = np.full(START + 1, SLOTS - 1)
+        self.classes[RARE:START], self.classes[: min(SINGLE, len(head))] = np.arange(CLASSES), np.arange(min(SINGLE, len(head)))
+        by_ending = sorted(range(SINGLE, len(head)), key=lambda i: head[i][0][::-1])
+        self.starts = []
+        for g, run in enumerate(np.array_split(np.array(by_ending, np.int64), GROUPS)):
+            self.classes[run], self.slots[run] = SINGLE + g, np.arange(len(run))
+            if len(run):
+                self.starts.append(head[run[0]][0][::-1])
 
     def __missing__(self, word: bytes) -> int:
-        return HEAD + ending_class(word)
-
-
-class Vocabulary:
-    """The head with counts, and the sums of each class."""
-
-    def __init__(self, head: list[tuple[bytes, int]], tokens: int, distinct: int, class_tokens: np.ndarray, class_distinct: np.ndarray):
-        self.ids = _Ids((w, i) for i, (w, _) in enumerate(head))
-        self.classes = np.zeros(HEAD + CLASSES + 1, np.int64)
-        self.classes[: len(head)] = [i if i < SINGLE else ending_class(w) for i, (w, _) in enumerate(head)]
-        self.classes[HEAD : HEAD + CLASSES] = np.arange(CLASSES)
-        self.start = HEAD + CLASSES  # before a text
-        self.tokens, self.distinct = tokens, distinct
-        self.log_count = np.zeros(HEAD + CLASSES + 1)
-        self.log_count[: len(head)] = np.log10(np.array([c for _, c in head], float) + ADD) if head else 0
-        self.log_all = np.log10(tokens + ADD * (distinct + 1))
-        single = np.arange(CLASSES) < SINGLE
-        # log10 of what the counts of a class are divided by; a single word's share is 1
-        total = np.where(single, np.maximum(class_tokens, 0) + ADD, class_tokens + ADD * (class_distinct + 1))
-        self.log_class = np.log10(total)
-        prior = np.where(single & (class_tokens == 0), 0, total)
-        self.prior = np.log(np.maximum(prior, 1e-300) / max(prior.sum(), 1e-300)).astype(np.float32)
-
-    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all tokens, three starts before each text, and the places of the tokens."""
-        ids = np.full(sum(map(len, texts)) + 3 * len(texts), self.start, np.int64)
-        at, get = 0, self.ids.__getitem__
-        for words in texts:
-            at += 3
-            ids[at : at + len(words)] = np.fromiter(map(get, words), np.int64, len(words))
-            at += len(words)
-        return ids, np.flatnonzero(ids != self.start)
-
-
-def features(ids: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """(places, FEATURES) rows of the hashed table."""
-    context = np.where(ids < CONTEXT_WORDS, ids, CONTEXT_WORDS + classes).astype(np.uint64)
-    c1, c2, c3 = (classes[places - k].astype(np.uint64) for k in (1, 2, 3))
-    pair = np.uint64(CLASSES + 1)
-    keys = np.stack([context[places - 1] * np.uint64(4), (c1 * pair + c2) * np.uint64(4) + np.uint64(1), (c2 * pair + c3) * np.uint64(4) + np.uint64(2), context[places - 2] * np.uint64(4) + np.uint64(3)], axis=1)
-    return (((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64) % ROWS
-
-
-def class_probabilities(table: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]]
-    for k in range(1, FEATURES):
-        z += table[rows[:, k]]
+        return RARE + SINGLE + max(0, bisect_right(self.starts, word[::-1]) - 1)
+
+
+@dataclass
+class Model:
+    """Counts of the head and of the classes' rarer words (tokens, distinct), and the weights."""
+
+    head: list[tuple[bytes, int]]
+    rare: np.ndarray
+    weights: np.ndarray
+
+    def __post_init__(self):
+        v = self.vocabulary = Vocabulary(self.head)
+        c = np.array([c for _, c in self.head], float)
+        self.tokens, self.distinct = int(c.sum() + self.rare[0].sum()), int(len(c) + self.rare[1].sum())
+        self.log_all = np.log10(self.tokens + ADD * (self.distinct + 1))
+        self.log_count = np.zeros(START + 1)  # rare words: added by the join
+        self.log_count[: len(c)] = np.log10(c + ADD)
+        rest = self.rare[0] + ADD * (self.rare[1] + 1)
+        self.log_rest = np.zeros(START + 1)
+        self.log_rest[RARE:START] = np.log10(rest)
+        words = np.zeros((GROUPS, SLOTS))
+        own, slot = v.classes[: len(c)], v.slots[: len(c)]
+        grouped = own >= SINGLE
+        words[own[grouped] - SINGLE, slot[grouped]] = c[grouped]
+        words[:, -1] = rest[SINGLE:]
+        classes = np.zeros(CLASSES)
+        classes[own[~grouped]] = c[~grouped]
+        classes[SINGLE:] = words.sum(axis=1)
+        with np.errstate(divide="ignore"):
+            self.class_prior = np.log(classes / classes.sum()).astype(np.float32)
+            self.word_prior = np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.class_table = self.weights[:CLASS_WEIGHTS].reshape(CLASS_ROWS, CLASSES)
+        self.word_table = self.weights[CLASS_WEIGHTS:].reshape(GROUPS * WORD_ROWS, SLOTS)
+
+
+def _hashed(keys: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
+    """(features, places) rows, each feature in rows of its own."""
+    out = np.empty((len(keys), len(keys[0])), np.int32)
+    base = 0
+    for row, key, b in zip(out, keys, bits, strict=True):
+        row[:] = ((key + np.uint64(1)) * MIX >> np.uint64(64 - b)).astype(np.int32)
+        row += base
+        base += 1 << b
+    return out
+
+
+def features(ids: np.ndarray, places: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the class table, and of the word table where groups (numbers of classes by ending) is at least 0."""
+    one, two = (ids[places - k].astype(np.uint64) for k in (1, 2))
+    pair = two << np.uint64(16) | one
+    some = groups >= 0
+    rows = _hashed([one[some], two[some], pair[some]], WORD_BITS)
+    rows += (groups[some] * WORD_ROWS).astype(np.int32)
+    return _hashed([one, two, pair], CLASS_BITS), rows
+
+
+def probabilities(table: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(places, outcomes): the softmax of the features' weights and the prior."""
+    z = table[rows[0]]
+    for row in rows[1:]:
+        z += table[row]
     z += prior
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
@@ -115,6 +149,15 @@ def class_probabilities(table: np.ndarray, prior: np.ndarray, rows: np.ndarray)
     return z
 
 
+def _subtract(table: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """table[rows[k, i]] -= p[i] for all k and i, rows that meet summed first."""
+    for row in rows:
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        table[row[first]] -= np.add.reduceat(p[order], first, axis=0)
+
+
 COUNTED = "word binary, c long"
 
 
@@ -134,10 +177,66 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table()
 
 
-def _blocks(table: np.ndarray) -> pa.RecordBatch:
-    """A table (ROWS, CLASSES) in float32 blocks."""
-    filled = [i for i in range(0, ROWS, BLOCK) if table[i : i + BLOCK].any()]
-    return pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in filled], pa.int32()), pa.array([table[i : i + BLOCK].astype(np.float32).tobytes() for i in filled], pa.binary())], ["block", "data"])
+def _rarer(words: Callable[[], Vocabulary]) -> Callable:
+    """Tokens and distinct words of each class that the head lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, out = words(), np.zeros((2, CLASSES), np.int64)
+        for b in batches:
+            own = np.fromiter(map(v.__getitem__, b.column("word").to_pylist()), np.int64, b.num_rows)
+            some = own >= RARE
+            np.add.at(out[0], own[some] - RARE, b.column("c").to_numpy()[some])
+            out[1] += np.bincount(own[some] - RARE, minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(out[0]), pa.array(out[1])], ["class", "c", "v"])
+
+    return run
+
+
+ENCODED = "row long, doc_id long, held_out boolean, ids binary, rare array<struct<word:binary,tf:long>>"
+
+
+def _encode(words: Callable[[], Vocabulary]) -> Callable:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))]
+    names = [c.split()[0] for c in ENCODED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        get, row = words().__getitem__, TaskContext.get().partitionId() << 33
+        for b in batches:
+            all_ids, rare = [], []
+            for text in b.column("text").to_pylist():
+                found = words_of(text)
+                ids = np.fromiter(map(get, found), np.uint16, len(found))
+                all_ids.append(ids.tobytes())
+                rare.append([{"word": w, "tf": n} for w, n in Counter([found[i] for i in np.flatnonzero(ids >= RARE).tolist()]).items()])
+            columns = [np.arange(row, row + b.num_rows), b.column("doc_id"), b.column("held_out"), all_ids, rare]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds, strict=True)], names)
+            row += b.num_rows
+
+    return run
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens, two starts before each text, and the places of the tokens."""
+    start = np.full(2, START, np.uint16).tobytes()
+    ids = np.frombuffer(b"".join([x for t in texts for x in (start, t)]), np.uint16)
+    return ids, np.flatnonzero(ids != START)
+
+
+def _slices(texts: list[bytes]) -> Iterator[slice]:
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) // 2
+        if held >= HELD or i + 1 == len(texts):
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+
+
+def _blocks(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
+    filled = [i for i in range(0, len(vector), BLOCK) if vector[i : i + BLOCK].any()]
+    for i in filled:
+        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([vector[i : i + BLOCK].tobytes()], pa.binary())], ["block", "data"])
 
 
 BLOCKS = "block int, data binary"
@@ -150,171 +249,198 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
             part = np.frombuffer(data, np.float32)
             sums[block] = sums[block] + part if block in sums else part.astype(float)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["block", "data"])
-
-
-def _summed(tables: DataFrame) -> np.ndarray:
-    """The sum over all tasks: ROWS * CLASSES numbers, whatever the input's size."""
-    out = np.zeros((ROWS, CLASSES))
-    for row in tables.repartition("block").mapInArrow(_add, BLOCKS).collect():
-        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.data), np.float32).reshape(-1, CLASSES)
+    for block, s in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([s.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
+
+
+def _summed(encoded: DataFrame, run: Callable) -> np.ndarray:
+    """The sum over all tasks: WEIGHTS numbers, whatever the input's size; tasks are few, as each returns so many."""
+    context = encoded.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, encoded.rdd.getNumPartitions() // 16)
+    out = np.zeros(WEIGHTS, np.float32)
+    for row in mapped(mapped(encoded.select("ids").coalesce(tasks), run, BLOCKS).repartition("block"), _add, BLOCKS).collect():
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.data), np.float32)
+    free_shuffles(encoded.sparkSession)
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[list[list[bytes]]]:
-    held, n = [], 0
-    for b in batches:
-        for text in b.column("text").to_pylist():
-            held.append(words_of(text))
-            n += len(held[-1])
-            if n >= size:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+def _observations(v: Vocabulary, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both tables, and the outcomes: classes of all places, slots of those with a class by ending."""
+    token = ids[places]
+    now = v.classes[token]
+    rows, word_rows = features(ids, places, now - SINGLE)
+    return rows, word_rows, now, v.slots[token[now >= SINGLE]]
+
 
+def _observed(model: Callable[[], Model]) -> Callable:
+    """Counts of (feature, outcome)."""
 
-def _observed(vocabulary: Callable[[], Vocabulary]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, out = vocabulary(), np.zeros(ROWS * CLASSES)
-        for texts in _slices(batches):
-            ids, places = v.encode(texts)
-            classes = v.classes[ids]
-            classes[ids == v.start] = CLASSES
-            rows, now = features(ids, classes, places), classes[places]
-            for k in range(FEATURES):
-                out += np.bincount(rows[:, k] * CLASSES + now, minlength=len(out))
-        yield _blocks(out.reshape(ROWS, CLASSES))
+        v, out = model().vocabulary, np.zeros(WEIGHTS, np.float32)
+        classes, words = out[:CLASS_WEIGHTS], out[CLASS_WEIGHTS:]
+        for b in batches:
+            texts = b.column("ids").to_pylist()
+            for part in _slices(texts):
+                rows, word_rows, now, slots = _observations(v, *_joined(texts[part]))
+                for own, count in ((rows * CLASSES + now, classes), (word_rows * SLOTS + slots, words)):
+                    for flat in own:
+                        at, n = np.unique(flat, return_counts=True)
+                        count[at] += n
+        yield from _blocks(out)
 
     return run
 
 
-def _expected(vocabulary: Callable[[], Vocabulary], table: Callable[[], np.ndarray]) -> Callable:
+def _gradient(model: Callable[[], Model]) -> Callable:
+    """Observed less expected counts of (feature, outcome), under the current weights."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, out = vocabulary(), table(), np.zeros((CLASSES, ROWS))
-        for texts in _slices(batches):
-            ids, places = v.encode(texts)
-            classes = v.classes[ids]
-            classes[ids == v.start] = CLASSES
-            rows = features(ids, classes, places)
-            for a in range(0, len(rows), CHUNK):
-                part = rows[a : a + CHUNK]
-                p = np.ascontiguousarray(class_probabilities(w, v.prior, part).T, dtype=float)
-                columns = np.ascontiguousarray(part.T)
-                for own, weights in zip(out, p, strict=True):
-                    for k in range(FEATURES):
-                        own += np.bincount(columns[k], weights, ROWS)
-        yield _blocks(np.ascontiguousarray(out.T))
+        m, out = model(), np.zeros(WEIGHTS, np.float32)
+        classes, words = out[:CLASS_WEIGHTS].reshape(-1, CLASSES), out[CLASS_WEIGHTS:].reshape(-1, SLOTS)
+        for b in batches:
+            texts = b.column("ids").to_pylist()
+            for part in _slices(texts):
+                rows, word_rows, now, slots = _observations(m.vocabulary, *_joined(texts[part]))
+                groups = now[now >= SINGLE] - SINGLE
+                for a in range(0, len(now), CHUNK):
+                    of = slice(a, a + CHUNK)
+                    p = probabilities(m.class_table, m.class_prior, rows[:, of])
+                    p[np.arange(len(p)), now[of]] -= 1
+                    _subtract(classes, rows[:, of], p)
+                for a in range(0, len(slots), CHUNK):
+                    of = slice(a, a + CHUNK)
+                    p = probabilities(m.word_table, m.word_prior[groups[of]], word_rows[:, of])
+                    p[np.arange(len(p)), slots[of]] -= 1
+                    _subtract(words, word_rows[:, of], p)
+        yield from _blocks(out)
 
     return run
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, rare array<struct<word:binary,tf:long>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double"
 
 
-def _score(vocabulary: Callable[[], Vocabulary], table: Callable[[], np.ndarray]) -> Callable:
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
+def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the tokens; of rare words without the logarithm of their count."""
+    rows, word_rows, now, slots = _observations(m.vocabulary, ids, places)
+    out, grouped = np.empty(len(places)), np.flatnonzero(now >= SINGLE)
+    for a in range(0, len(places), CHUNK):
+        p = probabilities(m.class_table, m.class_prior, rows[:, a : a + CHUNK])
+        out[a : a + CHUNK] = np.log10(np.maximum(p[np.arange(len(p)), now[a : a + CHUNK]].astype(float), 1e-30))
+    for a in range(0, len(grouped), CHUNK):
+        at = grouped[a : a + CHUNK]
+        p = probabilities(m.word_table, m.word_prior[now[at] - SINGLE], word_rows[:, a : a + CHUNK])
+        out[at] += np.log10(np.maximum(p[np.arange(len(p)), slots[a : a + CHUNK]].astype(float), 1e-30))
+    return out - m.log_rest[ids[places]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        v, w = vocabulary(), table()
-        row = TaskContext.get().partitionId() << 33
+def _score(model: Callable[[], Model]) -> Callable:
+    names = [c.split()[0] for c in SCORED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model()
         for b in batches:
-            doc_ids, held, all_texts = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist()
-            lo = 0
-            while lo < len(all_texts):
-                texts, n = [], 0
-                while lo + len(texts) < len(all_texts) and n < 200_000:
-                    texts.append(words_of(all_texts[lo + len(texts)]))
-                    n += len(texts[-1])
-                ids, places = v.encode(texts)
-                classes = v.classes[ids]
-                classes[ids == v.start] = CLASSES
-                rows, now = features(ids, classes, places), classes[places]
-                log_class = np.empty(len(places))
-                for a in range(0, len(places), CHUNK):
-                    p = class_probabilities(w, v.prior, rows[a : a + CHUNK])
-                    log_class[a : a + CHUNK] = np.log10(np.maximum(p[np.arange(len(p)), now[a : a + CHUNK]].astype(float), 1e-30))
-                token = ids[places]
-                count = v.log_count[token]  # rare words: 0 here, added by the join
-                share = np.where(now < SINGLE, 0.0, count - v.log_class[now])
-                sizes = np.array([len(t) for t in texts])
-                first = np.cumsum(sizes) - sizes
-                add = lambda x: np.add.reduceat(x, first)
-                head = add((token < HEAD).astype(np.int64))
-                rare = []
-                for t, f in zip(texts, first, strict=True):
-                    c = Counter([t[i] for i in np.flatnonzero(token[f : f + len(t)] >= HEAD)])
-                    rare.append([{"word": k, "tf": n} for k, n in c.items()])
-                m = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + m)), pa.array(doc_ids[lo : lo + m], pa.int64()), pa.array(held[lo : lo + m], pa.bool_()), pa.array(sizes), pa.array(head), pa.array(add(count - v.log_all)), pa.array(add(log_class + share)), pa.array(rare, rare_type)],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_head", "base", "score", "rare"],
-                )
-                row += m
-                lo += m
+            texts = b.column("ids").to_pylist()
+            for part in _slices(texts):
+                ids, places = _joined(texts[part])
+                token, sizes = ids[places], np.array([len(t) // 2 for t in texts[part]])
+                add = lambda x, first=np.cumsum(sizes) - sizes: np.add.reduceat(x, first)
+                own = [b.column(c).slice(part.start, part.stop - part.start) for c in ("row", "doc_id", "held_out")]
+                sums = [sizes, add((token < RARE).astype(np.int64)), add(m.log_count[token] - m.log_all), add(token_scores(m, ids, places))]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums)], names)
 
     return run
 
 
-_resident: dict = {}
+def _from(sent, make: Callable) -> Callable:
+    """A worker's own object, made of a broadcast value."""
+    key = uuid.uuid4().hex
+    return lambda: resident(key, lambda: make(sent.value))
+
+
+def rows_of(docs: DataFrame, fold: int = 10, out: int = 0) -> DataFrame:
+    """doc_id, text, held_out: whether crc32(id) mod fold is out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("held_out", crc_mod(F.col("doc_id"), fold) == out)
+
+
+def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """The most frequent words, by falling count: as many whole classes of frequency as have most words at most."""
+    level = F.floor(16 * F.log2("c"))
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r.n
+        if total > most:
+            break
+        least = r.level
+    head = [] if least is None else [(bytes(r.word), r.c) for r in counts.filter(level >= least).collect()]
+    return sorted(head, key=lambda x: (-x[1], x[0]))
+
+
+def start(model: Model, observed: np.ndarray) -> np.ndarray:
+    """Weights from counts: each feature's own log-odds against the prior, damped and shared among features."""
+    out = np.empty(WEIGHTS, np.float32)
+    words = np.repeat(model.word_prior, WORD_ROWS, axis=0)
+    for lo, prior, n in ((0, model.class_prior[None, :], CLASSES), (CLASS_WEIGHTS, words, SLOTS)):
+        part = observed[lo : lo + (CLASS_WEIGHTS if not lo else WEIGHTS)].reshape(-1, n)
+        for a in range(0, len(part), 4096):
+            own = part[a : a + 4096]
+            p = np.exp(prior if len(prior) == 1 else prior[a : a + 4096])
+            ratio = (own + PRIOR * p) / ((own.sum(axis=1, keepdims=True) + PRIOR) * np.maximum(p, 1e-30))
+            out[lo + a * n : lo + a * n + own.size] = np.where(p > 0, SHARE * np.log(np.maximum(ratio, 1e-30)), 0).ravel()
+    return out
 
 
-def scores(docs: DataFrame, fold: int = 10, out: int = 0, rounds: int = ROUNDS) -> DataFrame:
+def train(counts: DataFrame, encode: Callable[[Callable[[], Vocabulary]], DataFrame], rounds: int = ROUNDS, most: int = HEAD) -> tuple[Model, DataFrame]:
+    """The model and the encoded rows, from counts of the training words."""
+    spark = counts.sparkSession
+    head = frequent(counts, most)
+    words = _from(spark.sparkContext.broadcast(head), Vocabulary)
+    rare = np.zeros((2, CLASSES))
+    for r in mapped(counts, _rarer(words), "class long, c long, v long").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
+        rare[:, r["class"]] = r.c, r.v
+    encoded = encode(words)
+    training = encoded.filter("NOT held_out")
+    model = Model(head, rare, np.zeros(WEIGHTS, np.float32))
+    if not model.tokens:
+        return model, encoded
+    send = lambda m: _from(spark.sparkContext.broadcast((m.head, m.rare, m.weights)), lambda value: Model(*value))
+    observed = _summed(training, _observed(words_only(words)))
+    model = Model(head, rare, start(model, observed))
+    for k in range(rounds):
+        gradient = _summed(training.filter(F.col("row") % rounds == k), _gradient(send(model)))
+        gradient /= observed / rounds + np.float32(PRIOR / rounds)
+        model = Model(head, rare, model.weights + np.float32(RATE) * np.clip(gradient, -1, 1))
+    return model, encoded
+
+
+def words_only(words: Callable[[], Vocabulary]) -> Callable:
+    @dataclass
+    class Holder:
+        vocabulary: Vocabulary
+
+    return lambda: Holder(words())
+
+
+def scores(docs: DataFrame, fold: int = 10, out: int = 0, rounds: int = ROUNDS, most: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from rows whose crc32(id) mod fold is not out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", crc_mod(F.col("doc_id"), fold) == out)
-    training = rows.filter(~F.col("held_out")).select("text")
-    counts = keep(training.mapInArrow(_count, COUNTED).groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    free_shuffles(spark)
-    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    singles = F.array(*(F.lit(bytearray(w)) for w, _ in head[:SINGLE])) if head else F.array().cast("array<binary>")
-    by_class = counts.select(F.coalesce(F.nullif(F.array_position(singles, F.col("word")), F.lit(0)) - 1, F.lit(SINGLE) + F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")) % ENDINGS).alias("class"), "c")
-    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        tokens[r["class"]], distinct[r["class"]] = r.c, r.v
-    n, v = int(tokens.sum()), int(distinct.sum())
-    sent = spark.sparkContext.broadcast((head, n, v, tokens, distinct))
-    vocabulary = _vocabulary(sent)
-    own = Vocabulary(head, n, v, tokens, distinct)
-
-    observed = _summed(training.mapInArrow(_observed(vocabulary), BLOCKS))
-    prior = np.exp(own.prior.astype(float))
-    strength = 20.0
-    seen = observed.sum(axis=1, keepdims=True)
-    table = ((np.log((observed + strength * prior) / (seen + strength)) - own.prior) / 2).astype(np.float32) if n else np.zeros((ROWS, CLASSES), np.float32)
-    table = np.nan_to_num(table, neginf=0.0)
-    for _ in range(rounds if n else 0):
-        weights = spark.sparkContext.broadcast(table)
-        expected = _summed(training.mapInArrow(_expected(vocabulary, _table(weights)), BLOCKS))
-        table = (table + np.log((observed + 1.0) / (expected + 1.0)) / FEATURES).astype(np.float32)
-    weights = spark.sparkContext.broadcast(table)
+    rows = rows_of(docs, fold, out)
+    counts = keep(mapped(rows.filter("NOT held_out").select("text"), _count, COUNTED).groupBy("word").agg(F.sum("c").alias("c")), "counts")
     free_shuffles(spark)
+    model, encoded = train(counts, lambda words: keep(mapped(rows, _encode(words), ENCODED), "encoded"), rounds, most)
+    return scored(model, encoded, counts)
 
-    scored = keep(rows.mapInArrow(_score(vocabulary, _table(weights)), SCORED), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(counts, "word", "left")
+
+def scored(model: Model, encoded: DataFrame, counts: DataFrame) -> DataFrame:
+    sent = _from(encoded.sparkSession.sparkContext.broadcast((model.head, model.rare, model.weights)), lambda value: Model(*value))
+    own = mapped(encoded.select("row", "doc_id", "held_out", "ids"), _score(sent), SCORED)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_rare"))
-    return scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+    return own.join(rare, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("log_rare", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("log_rare", F.lit(0.0))).alias("score"))
 
 
-def _vocabulary(sent) -> Callable[[], Vocabulary]:
-    def get() -> Vocabulary:
-        value = sent.value
-        if _resident.get("of") is not value:
-            _resident.clear()
-            _resident.update(of=value, vocabulary=Vocabulary(*value))
-        return _resident["vocabulary"]
-
-    return get
-
-
-def _table(sent) -> Callable[[], np.ndarray]:
-    return lambda: sent.value
-
-
 def op6(spark, sf_dir: str) -> DataFrame:
     return scores(read(spark, sf_dir, "documents"))

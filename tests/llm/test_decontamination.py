@@ -116,3 +116,14 @@ def test_parts_far_apart_and_rare_words_hide_nothing(spark):
     assert {(n, n) for n in range(20)} <= {x[:2] for x in wanted} and {(200 + n, n) for n in range(20, 60)} <= {x[:2] for x in wanted}
     found = D.find(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted(((r.doc_id, r.item_id, r.overlap, r.question_overlap, r.answer_overlap) for r in found), key=repr) == wanted
+
+
+def test_unspaced_scripts_and_foreign_signs(spark):
+    rng = random.Random(5)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n))
+    ask, reply = han(20), han(20)
+    item = f"{ask}\uff1f{reply}"
+    # inside a sentence, with other signs, with two characters changed; then half of it, and none
+    rows = [(1, han(30) + ask + reply + han(30)), (2, f"{han(5)}\u300c{ask}\u300d\u3002{reply}\u3002"), (3, f"x {item[:9]}{han(1)}{item[10:35]}{item[35:]} y"), (4, han(9) + ask + han(40)), (5, han(100))]
+    found = D.find(documents(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [1, 2, 3] and found[0].item_id == 1

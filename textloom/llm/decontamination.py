@@ -22,6 +22,7 @@ of more than BLOCK_ITEMS items is queried in blocks, all of them against all row
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -48,9 +49,17 @@ PUNCTUATION = bytes(b if not (b < 128 and not chr(b).isalnum()) else 32 for b in
 FOUND = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
 
 
+#: Characters of scripts written without spaces (Thai to Khmer, kana, Han), and punctuation beyond ASCII.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+SIGNS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u3020\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation and white space separate them."""
-    return text.lower().encode().translate(PUNCTUATION).split()
+    """Lower-cased words; punctuation and white space separate them, and each character of an unspaced script is a word."""
+    text = text.lower()
+    if not text.isascii():
+        text = UNSPACED.sub(r" \1 ", SIGNS.sub(" ", text))
+    return text.encode(errors="surrogatepass").translate(PUNCTUATION).split()
 
 
 def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple]:
@@ -60,7 +69,8 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple]:
 class Item:
     def __init__(self, item_id: int | None, text: str):
         self.item_id, self.words = item_id, words_of(text)
-        cut = len(words_of(text[: text.rindex("?") + 1])) if "?" in text else 0
+        asked = max(text.rfind(mark) for mark in "?\uff1f\u061f")
+        cut = len(words_of(text[: asked + 1])) if asked >= 0 else 0
         if not 0 < cut < len(self.words):
             cut = (len(self.words) + 1) // 2
         self.all, self.question, self.answer = shingles(self.words), shingles(self.words[:cut]), shingles(self.words[cut:])

@@ -15,8 +15,6 @@ from .common import resident
 
 #: Entries a worker's cache holds at most (some 200 bytes each).
 CACHE_ENTRIES = 700_000
-#: Texts longer than this many characters are cut at safe boundaries before the library sees them whole.
-LONG_TEXT = 200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,21 +99,6 @@ class WordBpe:
         return b"".join(map(self.cache.__getitem__, chunks))
 
 
-class _Counts(dict):
-    """chunk -> its number of pieces."""
-
-    def __init__(self, counter: PieceCounter):
-        self.counter = counter
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self.counter.library_count(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
-
-
 class PieceCounter:
     """Token counts of the sentencepiece model, equal to len(encode(text)) of the library.
 
@@ -130,45 +113,53 @@ class PieceCounter:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = map(self.library.id_to_piece, range(self.library.get_piece_size()))
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces) and self.library.encode("a  b", out_type=str) == ["▁a", "▁", "▁b"]
-        self.cache = _Counts(self)
+        self.cache = {"": 1}  # the mark of one space at the end
 
-    def library_count(self, text: str) -> int:
-        return len(self.library.encode(text, num_threads=1)) if text else 0
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
+    def pieces(self, text: str) -> list[str]:
+        """Parts of a text whose token counts add up to the text's."""
         if not self.cuttable or "▁" in text:
-            return self.library_count(text)
+            return [text] if text else []
         chunks = text.split(" ")
         if "" not in chunks:
-            return sum(map(self.cache.__getitem__, chunks))
-        total, spaces = 0, 0
+            return chunks
+        out, spaces = [], 0
         for chunk in chunks:
             if chunk:
                 # n empty strings before a word: n more spaces before it
-                total += self.cache[" " * spaces + chunk]
+                out.append(" " * spaces + chunk)
                 spaces = 0
             else:
                 spaces += 1
         if spaces == len(chunks):
-            return self.cache[text]
+            return [text] if text else []
         if spaces:
             # n empty strings at the end: n spaces
-            total += self.cache[" " * (spaces - 1)] if spaces > 1 else 1
-        return total
-
-
-def balanced(texts: list[str], limit: int) -> Iterable[slice]:
-    """Consecutive slices of about limit characters each; a longer text is a slice of its own."""
+            out.append(" " * (spaces - 1))
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The texts' token counts; pieces that the cache lacks are encoded as one batch."""
+        cut = [self.pieces(t) for t in texts]
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.cache = {"": 1}
+        known = self.cache
+        new = [p for p in set().union(*cut) if p not in known]
+        met = dict(zip(new, map(len, self.library.encode(new, num_threads=1)), strict=True))
+        known.update((p, n) for p, n in met.items() if len(p) <= 64)
+        met = {p: n for p, n in met.items() if len(p) > 64}
+        return [sum(known[p] if len(p) <= 64 else met[p] for p in own) for own in cut]
+
+
+def balanced(sizes: list[int], limit: int) -> Iterable[slice]:
+    """Consecutive slices of about limit bytes each; a longer text is a slice of its own."""
     start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
             yield slice(start, i)
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+        held += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def loaded(kind: type, path: str):

@@ -1,4 +1,7 @@
-"""Token counts: whole texts encoded in Arrow batches, only lengths returned.
+"""Token counts: texts encoded in batches balanced by bytes, only lengths returned.
+
+All texts of a slice are cut where tokens provably end, and the library gets the pieces that the worker has
+not met before as one batch.
 
 Cases: null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows are counted
 each; an empty table gives an empty result; other columns of the input are not read. Long texts are
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import id_text, mapped, read
 from .encoding import PieceCounter, balanced, loaded, tokenizer_path
 
-#: Characters that one slice of a batch holds, unless one text is longer.
-SLICE_CHARS = 4_000_000
+#: Bytes that one call of the library covers, unless one text is longer.
+SLICE_BYTES = 1 << 20
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,8 +31,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts: list[int] = []
-            for part in balanced(texts, SLICE_CHARS):
-                counts += map(counter.count, texts[part])
+            for part in balanced(batch.column("n_bytes").to_pylist(), SLICE_BYTES):
+                counts += counter.counts(texts[part])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = id_text(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")

@@ -63,32 +63,31 @@ def softmax(table, rows, prior):
     return z / z.sum()
 
 
-def sections(keys, bits, base=0):
-    out = []
-    for key, b in zip(keys, bits, strict=True):
-        out.append(base + hashed(key, b))
-        base += 1 << b
-    return out
+def steps(v, before, i):
+    """(level, node, rows, outcome) of each factor of a token."""
+    k = int(v.classes[i])
+    path = [(0, k // maxent.SUPER), (k // maxent.SUPER, k % maxent.SUPER)] + [(k - maxent.SINGLE, int(v.slots[i]))] * (k >= maxent.SINGLE)
+    for n, (node, outcome) in enumerate(path):
+        level, rows = maxent.LEVELS[n], []
+        base = node * level.rows
+        for key, bits in zip([before[-1], before[-2], before[-2] * 65536 + before[-1]], level.bits, strict=True):
+            rows.append(base + hashed(key, bits))
+            base += 1 << bits
+        yield n, node, rows, outcome
 
 
 def slow(model, counts, text):
-    """log10 P(text), one token at a time, and its parts: (rows of the class table, class, rows of the word table, slot)."""
-    v, before, total, parts = model.vocabulary, [maxent.START] * 2, 0.0, []
+    """log10 P(text), one token at a time."""
+    v, before, total = model.vocabulary, [maxent.START] * 2, 0.0
     for w in maxent.words_of(text):
         i = v[w]
-        k, slot = int(v.classes[i]), int(v.slots[i])
-        keys = [before[-1], before[-2], before[-2] * 65536 + before[-1]]
-        rows, g = sections(keys, maxent.CLASS_BITS), k - maxent.SINGLE
-        p = softmax(model.class_table, rows, model.class_prior)[k]
-        word_rows = sections(keys, maxent.WORD_BITS, g * maxent.WORD_ROWS) if g >= 0 else None
-        if g >= 0:
-            p *= softmax(model.word_table, word_rows, model.word_prior[g])[slot]
+        for n, node, rows, outcome in steps(v, before, i):
+            total += math.log10(softmax(model.tables[n], rows, model.priors[n][node])[outcome])
         if i >= maxent.RARE:
-            p *= (counts.get(w, 0) + 0.1) / (model.rare[0, k] + 0.1 * (model.rare[1, k] + 1))
-        total += math.log10(p)
-        parts.append((rows, k, word_rows, slot))
+            k = i - maxent.RARE
+            total += math.log10((counts.get(w, 0) + 0.1) / (model.rare[0, k] + 0.1 * (model.rare[1, k] + 1)))
         before.append(i)
-    return total, parts
+    return total
 
 
 @pytest.mark.parametrize("most", [maxent.HEAD, 60])
@@ -101,7 +100,7 @@ def test_scores_against_a_slow_model(spark, most):
     have = {bytes(r.word): r.c for r in counts.collect()}
     scored = maxent.scored(model, encoded, counts).collect()
     assert sorted(str(r.doc_id) for r in scored) == sorted(str(i) for i, _ in rows)
-    wanted = {t or "": slow(model, have, t or "")[0] for _, t in rows}
+    wanted = {t or "": slow(model, have, t or "") for _, t in rows}
     texts = {i: t or "" for i, t in rows if i not in (None, 16)}
     for r in scored:
         if r.doc_id in texts:
@@ -119,51 +118,36 @@ def small_model(seed=0):
 
 def test_probabilities_of_all_words_sum_to_one():
     m = small_model()
-    ids, places = maxent._joined([np.array([0, 40, maxent.RARE + 50, 200, 5], np.uint16).tobytes()])
-    now = m.vocabulary.classes[ids[places]]
-    rows, _ = maxent.features(ids, places, now - maxent.SINGLE)
-    p = maxent.probabilities(m.class_table, m.class_prior, rows)
-    within = np.ones((len(places), maxent.CLASSES))
-    for g in range(maxent.GROUPS):
-        _, word_rows = maxent.features(ids, places, np.full(len(places), g))
-        q = maxent.probabilities(m.word_table, np.repeat(m.word_prior[g : g + 1], len(places), 0), word_rows)
-        own = [i for i in range(len(m.head)) if m.vocabulary.classes[i] == maxent.SINGLE + g]
-        k = maxent.SINGLE + g
-        shares = (m.rare[0, k] + 0.1 * m.rare[1, k] + 0.1) / (m.rare[0, k] + 0.1 * (m.rare[1, k] + 1))
-        within[:, k] = q[:, m.vocabulary.slots[own]].sum(axis=1) + q[:, -1] * shares
-    assert (p * within).sum(axis=1) == pytest.approx(np.ones(len(places)), abs=1e-4)
+    for before in ([0, 40], [maxent.RARE + 50, 200], [maxent.START] * 2):
+        total = 0.0
+        for i in [*range(len(m.head)), *range(maxent.RARE + maxent.SINGLE, maxent.START)]:
+            p = math.prod(softmax(m.tables[n], rows, m.priors[n][node])[outcome] for n, node, rows, outcome in steps(m.vocabulary, before, i))
+            if i >= maxent.RARE:  # all rarer words of the class, and the unseen one
+                k = i - maxent.RARE
+                p *= (m.rare[0, k] + 0.1 * m.rare[1, k] + 0.1) / (m.rare[0, k] + 0.1 * (m.rare[1, k] + 1))
+            total += p
+        assert total == pytest.approx(1, abs=1e-5)
 
 
 def test_gradient_against_a_slow_sum():
     m = small_model(1)
     rng = np.random.default_rng(2)
     texts = [rng.integers(0, 301, 30).astype(np.uint16).tobytes() for _ in range(6)]
-    out = np.zeros(maxent.WEIGHTS)
+    out, wanted = np.zeros(maxent.WEIGHTS), np.zeros(maxent.WEIGHTS)
     for b in maxent._gradient(lambda: m)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["ids"])])):
-        for k, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
-            part = np.frombuffer(data, np.float32)
+        for k, scale, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            part = maxent._read_block(scale, data)
             out[k * maxent.BLOCK : k * maxent.BLOCK + len(part)] += part
-    words = [w for w, _ in m.head]
-    wanted = np.zeros(maxent.WEIGHTS)
-    classes, inner = wanted[: maxent.CLASS_WEIGHTS].reshape(-1, maxent.CLASSES), wanted[maxent.CLASS_WEIGHTS :].reshape(-1, maxent.SLOTS)
     for t in texts:
         before = [maxent.START] * 2
         for i in np.frombuffer(t, np.uint16).tolist():
-            k, slot = int(m.vocabulary.classes[i]), int(m.vocabulary.slots[i])
-            keys = [before[-1], before[-2], before[-2] * 65536 + before[-1]]
-            rows, g = sections(keys, maxent.CLASS_BITS), k - maxent.SINGLE
-            p = softmax(m.class_table, rows, m.class_prior)
-            for r in rows:
-                classes[r] -= p
-                classes[r, k] += 1
-            if g >= 0:
-                rows = sections(keys, maxent.WORD_BITS, g * maxent.WORD_ROWS)
-                p = softmax(m.word_table, rows, m.word_prior[g])
+            for n, node, rows, outcome in steps(m.vocabulary, before, i):
+                p = softmax(m.tables[n], rows, m.priors[n][node])
                 for r in rows:
-                    inner[r] -= p
-                    inner[r, slot] += 1
+                    maxent.tables(wanted)[n][r] -= p
+                    maxent.tables(wanted)[n][r, outcome] += 1
             before.append(i)
-    assert len(words) == 301 and np.abs(out - wanted).max() < 1e-3
+    assert np.abs(wanted).max() > 1 and np.abs(out - wanted).max() < 5e-3 * np.abs(wanted).max()
 
 
 def test_the_model_beats_an_interpolated_bigram_on_held_out_text(spark):

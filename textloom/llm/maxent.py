@@ -1,11 +1,11 @@
 """Scoring by a hashed maximum-entropy language model.
 
-P(word | context) = P(class | context) * P(word | class, context), both factors log-linear in hashed features of
-the context: the word before, the word before that (a skip feature), and both as a pair. The
-most frequent words are classes of their own; the other frequent words, ordered by their endings, are cut into
-classes of equal size. Every other word, seen or not, belongs to the class into whose endings it
-falls; there it shares one outcome, within which its probability is its smoothed share of the counts.
-An outcome for unseen words is among these, so all probabilities sum to 1.
+P(word | context) = P(superclass | context) * P(class | superclass, context) * P(word | class, context), each factor
+log-linear in hashed features of the context: the word before, the word before that (a skip feature), and both as
+a pair. The most frequent words are classes of their own; the other frequent words, ordered by their endings, are cut
+into classes of equal size, and neighbouring classes make up a superclass. Every other word, seen or not, belongs
+to the class into whose endings it falls; there it shares one outcome, within which its probability
+is its smoothed share of the counts. An outcome for unseen words is among these, so all probabilities sum to 1.
 
 Training: word counts; then each document once as an array of ids, which all later passes read. A pass over
 all training documents counts features with outcomes, from which the weights start. Then ROUNDS synchronous gradient
@@ -13,7 +13,7 @@ updates, each from another part of the training documents, so that every one tak
 sum observed less expected counts under the current weights, and each weight moves along its sum,
 scaled by how often it was observed.
 
-The tables of features and the frequent words have fixed sizes (some 30 MB); they are all that executors are
+The tables of features and the frequent words have fixed sizes (some 20 MB); they are all that executors are
 sent. Counts of rarer words grow with the corpus and never leave the cluster: they are joined with each document's rare words.
 
 Cases: null and empty texts have the end token alone; a null id is held out; repeated rows are scored
@@ -28,6 +28,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +38,40 @@ from pyspark.sql import functions as F
 from .common import crc_mod, free_shuffles, keep, mapped, read, resident
 
 #: Classes of one word; classes by ending, and their outcomes (the last one: all rarer words).
-SINGLE, GROUPS, SLOTS = 32, 128, 64
+SINGLE, GROUPS, SLOTS = 32, 224, 48
 CLASSES, HEAD = SINGLE + GROUPS, SINGLE + GROUPS * (SLOTS - 1)
+#: Superclasses, of as many classes each.
+SUPER = 16
 #: Ids: words of the head, then rarer words by their classes, then what stands before a text.
 RARE, START = HEAD, HEAD + CLASSES
-#: Bits of each feature's own rows: for classes, and for the words of one class.
-CLASS_BITS, WORD_BITS = (13, 12, 13), (8, 7, 7)
-CLASS_ROWS, WORD_ROWS = sum(1 << b for b in CLASS_BITS), sum(1 << b for b in WORD_BITS)
-#: Weights of both tables, and of one block when tables are summed.
-CLASS_WEIGHTS = CLASS_ROWS * CLASSES
-WEIGHTS, BLOCK = CLASS_WEIGHTS + GROUPS * WORD_ROWS * SLOTS, 1 << 16
+
+
+class Level(NamedTuple):
+    """A factor: its softmaxes, their outcomes, and the bits of each feature's own rows in one of them."""
+
+    nodes: int
+    outcomes: int
+    bits: tuple[int, ...]
+
+    @property
+    def rows(self) -> int:
+        return sum(1 << b for b in self.bits)
+
+    @property
+    def weights(self) -> int:
+        return self.nodes * self.rows * self.outcomes
+
+
+LEVELS = (Level(1, SUPER, (14, 13, 15)), Level(SUPER, CLASSES // SUPER, (10, 9, 11)), Level(GROUPS, SLOTS, (7, 6, 6)))
+#: Weights of all tables, and of one block when they are summed.
+WEIGHTS, BLOCK = sum(level.weights for level in LEVELS), 1 << 16
 ROUNDS, RATE = 3, 0.4
 #: Prior observations of a feature, and the share of its own log-odds that a weight starts with.
-PRIOR, SHARE = 5.0, 0.35
+PRIOR, SHARE = 5.0, 0.4
 ADD = 0.1
 END = b"\n"
 #: Tokens that one array operation takes, and that are held at once.
-CHUNK, HELD = 4096, 200_000
+CHUNK, HELD = 16_384, 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,10 +97,19 @@ class Vocabulary(dict):
             if len(run):
                 self.starts.append(head[run[0]][0][::-1])
 
+        self.nodes = (np.zeros_like(self.classes), self.classes // SUPER, self.classes - SINGLE)
+        self.outcomes = (self.classes // SUPER, self.classes % SUPER, self.slots)
+
     def __missing__(self, word: bytes) -> int:
         return RARE + SINGLE + max(0, bisect_right(self.starts, word[::-1]) - 1)
 
 
+def tables(weights: np.ndarray) -> list[np.ndarray]:
+    """Views of the levels' tables: (nodes * rows, outcomes)."""
+    ends = np.cumsum([level.weights for level in LEVELS])
+    return [weights[end - level.weights : end].reshape(-1, level.outcomes) for level, end in zip(LEVELS, ends.tolist(), strict=True)]
+
+
 @dataclass
 class Model:
     """Counts of the head and of the classes' rarer words (tokens, distinct), and the weights."""
@@ -109,41 +136,37 @@ class Model:
         classes = np.zeros(CLASSES)
         classes[own[~grouped]] = c[~grouped]
         classes[SINGLE:] = words.sum(axis=1)
-        with np.errstate(divide="ignore"):
-            self.class_prior = np.log(classes / classes.sum()).astype(np.float32)
-            self.word_prior = np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.class_table = self.weights[:CLASS_WEIGHTS].reshape(CLASS_ROWS, CLASSES)
-        self.word_table = self.weights[CLASS_WEIGHTS:].reshape(GROUPS * WORD_ROWS, SLOTS)
+        above = classes.reshape(SUPER, -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shares = (above.sum(axis=1)[None, :], above, words)
+            self.priors = [np.nan_to_num(np.log(x / x.sum(axis=1, keepdims=True)), nan=-np.inf, neginf=-np.inf).astype(np.float32) for x in shares]
+        self.tables = tables(self.weights)
+
+
+def keys_of(ids: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """The features of the contexts."""
+    one, two = (ids[places - k].astype(np.uint64) for k in (1, 2))
+    return [one, two, two << np.uint64(16) | one]
 
 
-def _hashed(keys: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
-    """(features, places) rows, each feature in rows of its own."""
-    out = np.empty((len(keys), len(keys[0])), np.int32)
+def rows_of_features(level: Level, nodes: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """(features, places) rows of a level's table, each feature in rows of its own."""
+    out = np.empty((len(keys), len(nodes)), np.uint16)
     base = 0
-    for row, key, b in zip(out, keys, bits, strict=True):
-        row[:] = ((key + np.uint64(1)) * MIX >> np.uint64(64 - b)).astype(np.int32)
-        row += base
+    for row, key, b in zip(out, keys, level.bits, strict=True):
+        row[:] = ((key + np.uint64(1)) * MIX >> np.uint64(64 - b)).astype(np.int64) + nodes * level.rows + base
         base += 1 << b
     return out
 
 
-def features(ids: np.ndarray, places: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table, and of the word table where groups (numbers of classes by ending) is at least 0."""
-    one, two = (ids[places - k].astype(np.uint64) for k in (1, 2))
-    pair = two << np.uint64(16) | one
-    some = groups >= 0
-    rows = _hashed([one[some], two[some], pair[some]], WORD_BITS)
-    rows += (groups[some] * WORD_ROWS).astype(np.int32)
-    return _hashed([one, two, pair], CLASS_BITS), rows
-
-
 def probabilities(table: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(places, outcomes): the softmax of the features' weights and the prior."""
-    z = table[rows[0]]
+    z = np.take(table, rows[0], axis=0)
     for row in rows[1:]:
-        z += table[row]
+        z += np.take(table, row, axis=0)
     z += prior
     z -= z.max(axis=1, keepdims=True)
+    np.maximum(z, -80, out=z)  # smaller ones only cost time
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
@@ -151,11 +174,18 @@ def probabilities(table: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.
 
 def _subtract(table: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
     """table[rows[k, i]] -= p[i] for all k and i, rows that meet summed first."""
+    columns = np.ascontiguousarray(p.T, dtype=float)
     for row in rows:
         order = np.argsort(row, kind="stable")
-        row = row[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        table[row[first]] -= np.add.reduceat(p[order], first, axis=0)
+        sorted_ = row[order]
+        first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+        own = np.empty(len(row), np.int64)
+        own[order] = np.cumsum(first) - 1
+        met = sorted_[first]
+        sums = np.empty((len(columns), len(met)))
+        for out, weights in zip(sums, columns, strict=True):
+            out[:] = np.bincount(own, weights, len(met))
+        table[met] -= sums.T
 
 
 COUNTED = "word binary, c long"
@@ -233,24 +263,31 @@ def _slices(texts: list[bytes]) -> Iterator[slice]:
             start, held = i + 1, 0
 
 
-def _blocks(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
-    filled = [i for i in range(0, len(vector), BLOCK) if vector[i : i + BLOCK].any()]
-    for i in filled:
-        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([vector[i : i + BLOCK].tobytes()], pa.binary())], ["block", "data"])
+BLOCKS = "block int, scale float, data binary"
+
 
+def _blocks(vector: np.ndarray, half: bool = False) -> Iterator[pa.RecordBatch]:
+    """A vector's blocks that aren't empty; half: each scaled to its largest number, in half precision."""
+    for lo in range(0, len(vector), BLOCK):
+        part = vector[lo : lo + BLOCK].astype(np.float32)
+        if scale := float(np.abs(part).max(initial=0)):
+            part = (part / scale).astype(np.float16) if half else part
+            yield pa.RecordBatch.from_arrays([pa.array([lo // BLOCK], pa.int32()), pa.array([scale if half else 0.0], pa.float32()), pa.array([part.tobytes()], pa.binary())], ["block", "scale", "data"])
 
-BLOCKS = "block int, data binary"
+
+def _read_block(scale: float, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float16).astype(np.float32) * np.float32(scale) if scale else np.frombuffer(data, np.float32)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the blocks that meet here, as they come."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
-            part = np.frombuffer(data, np.float32)
+        for block, scale, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            part = _read_block(scale, data)
             sums[block] = sums[block] + part if block in sums else part.astype(float)
     for block, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([s.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0.0], pa.float32()), pa.array([s.astype(np.float32).tobytes()], pa.binary())], ["block", "scale", "data"])
 
 
 def _summed(encoded: DataFrame, run: Callable) -> np.ndarray:
@@ -259,33 +296,32 @@ def _summed(encoded: DataFrame, run: Callable) -> np.ndarray:
     tasks = max(context.defaultParallelism, encoded.rdd.getNumPartitions() // 16)
     out = np.zeros(WEIGHTS, np.float32)
     for row in mapped(mapped(encoded.select("ids").coalesce(tasks), run, BLOCKS).repartition("block"), _add, BLOCKS).collect():
-        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.data), np.float32)
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = _read_block(row.scale, bytes(row.data))
     free_shuffles(encoded.sparkSession)
     return out
 
 
-def _observations(v: Vocabulary, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of both tables, and the outcomes: classes of all places, slots of those with a class by ending."""
-    token = ids[places]
-    now = v.classes[token]
-    rows, word_rows = features(ids, places, now - SINGLE)
-    return rows, word_rows, now, v.slots[token[now >= SINGLE]]
+def observations(v: Vocabulary, ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level: numbers of the tokens that have it, and their rows, nodes and outcomes."""
+    token, keys = ids[places], keys_of(ids, places)
+    for level, nodes, outcomes in zip(LEVELS, v.nodes, v.outcomes, strict=True):
+        node = nodes[token]
+        some = np.flatnonzero(node >= 0)
+        node = node[some]
+        yield some, rows_of_features(level, node, [k[some] for k in keys]), node, outcomes[token[some]]
 
 
-def _observed(model: Callable[[], Model]) -> Callable:
+def _observed(words: Callable[[], Vocabulary]) -> Callable:
     """Counts of (feature, outcome)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, out = model().vocabulary, np.zeros(WEIGHTS, np.float32)
-        classes, words = out[:CLASS_WEIGHTS], out[CLASS_WEIGHTS:]
+        v, out = words(), np.zeros(WEIGHTS)
         for b in batches:
             texts = b.column("ids").to_pylist()
             for part in _slices(texts):
-                rows, word_rows, now, slots = _observations(v, *_joined(texts[part]))
-                for own, count in ((rows * CLASSES + now, classes), (word_rows * SLOTS + slots, words)):
-                    for flat in own:
-                        at, n = np.unique(flat, return_counts=True)
-                        count[at] += n
+                for own, level, (_, rows, _, outcomes) in zip(tables(out), LEVELS, observations(v, *_joined(texts[part])), strict=True):
+                    flat = rows.astype(np.int64) * level.outcomes + outcomes
+                    own += np.bincount(flat.ravel(), minlength=own.size).reshape(own.shape)
         yield from _blocks(out)
 
     return run
@@ -296,23 +332,16 @@ def _gradient(model: Callable[[], Model]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out = model(), np.zeros(WEIGHTS, np.float32)
-        classes, words = out[:CLASS_WEIGHTS].reshape(-1, CLASSES), out[CLASS_WEIGHTS:].reshape(-1, SLOTS)
         for b in batches:
             texts = b.column("ids").to_pylist()
             for part in _slices(texts):
-                rows, word_rows, now, slots = _observations(m.vocabulary, *_joined(texts[part]))
-                groups = now[now >= SINGLE] - SINGLE
-                for a in range(0, len(now), CHUNK):
-                    of = slice(a, a + CHUNK)
-                    p = probabilities(m.class_table, m.class_prior, rows[:, of])
-                    p[np.arange(len(p)), now[of]] -= 1
-                    _subtract(classes, rows[:, of], p)
-                for a in range(0, len(slots), CHUNK):
-                    of = slice(a, a + CHUNK)
-                    p = probabilities(m.word_table, m.word_prior[groups[of]], word_rows[:, of])
-                    p[np.arange(len(p)), slots[of]] -= 1
-                    _subtract(words, word_rows[:, of], p)
-        yield from _blocks(out)
+                for own, table, prior, (_, rows, nodes, outcomes) in zip(tables(out), m.tables, m.priors, observations(m.vocabulary, *_joined(texts[part])), strict=True):
+                    for a in range(0, len(nodes), CHUNK):
+                        of = slice(a, a + CHUNK)
+                        p = probabilities(table, prior[nodes[of]], rows[:, of])
+                        p[np.arange(len(p)), outcomes[of]] -= 1
+                        _subtract(own, rows[:, of], p)
+        yield from _blocks(out, half=True)
 
     return run
 
@@ -322,15 +351,12 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, b
 
 def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """log10 probabilities of the tokens; of rare words without the logarithm of their count."""
-    rows, word_rows, now, slots = _observations(m.vocabulary, ids, places)
-    out, grouped = np.empty(len(places)), np.flatnonzero(now >= SINGLE)
-    for a in range(0, len(places), CHUNK):
-        p = probabilities(m.class_table, m.class_prior, rows[:, a : a + CHUNK])
-        out[a : a + CHUNK] = np.log10(np.maximum(p[np.arange(len(p)), now[a : a + CHUNK]].astype(float), 1e-30))
-    for a in range(0, len(grouped), CHUNK):
-        at = grouped[a : a + CHUNK]
-        p = probabilities(m.word_table, m.word_prior[now[at] - SINGLE], word_rows[:, a : a + CHUNK])
-        out[at] += np.log10(np.maximum(p[np.arange(len(p)), slots[a : a + CHUNK]].astype(float), 1e-30))
+    out = np.zeros(len(places))
+    for table, prior, (some, rows, nodes, outcomes) in zip(m.tables, m.priors, observations(m.vocabulary, ids, places), strict=True):
+        for a in range(0, len(nodes), CHUNK):
+            of = slice(a, a + CHUNK)
+            p = probabilities(table, prior[nodes[of]], rows[:, of])
+            out[some[of]] += np.log10(np.maximum(p[np.arange(len(p)), outcomes[of]].astype(float), 1e-30))
     return out - m.log_rest[ids[places]]
 
 
@@ -378,16 +404,14 @@ def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
 
 
 def start(model: Model, observed: np.ndarray) -> np.ndarray:
-    """Weights from counts: each feature's own log-odds against the prior, damped and shared among features."""
+    """Weights from counts: a share of each feature's own log-odds against the prior, damped."""
     out = np.empty(WEIGHTS, np.float32)
-    words = np.repeat(model.word_prior, WORD_ROWS, axis=0)
-    for lo, prior, n in ((0, model.class_prior[None, :], CLASSES), (CLASS_WEIGHTS, words, SLOTS)):
-        part = observed[lo : lo + (CLASS_WEIGHTS if not lo else WEIGHTS)].reshape(-1, n)
-        for a in range(0, len(part), 4096):
-            own = part[a : a + 4096]
-            p = np.exp(prior if len(prior) == 1 else prior[a : a + 4096])
-            ratio = (own + PRIOR * p) / ((own.sum(axis=1, keepdims=True) + PRIOR) * np.maximum(p, 1e-30))
-            out[lo + a * n : lo + a * n + own.size] = np.where(p > 0, SHARE * np.log(np.maximum(ratio, 1e-30)), 0).ravel()
+    for level, own, seen, prior in zip(LEVELS, tables(out), tables(observed), model.priors, strict=True):
+        for node in range(level.nodes):
+            of = slice(node * level.rows, (node + 1) * level.rows)
+            p = np.exp(prior[node])
+            ratio = (seen[of] + PRIOR * p) / ((seen[of].sum(axis=1, keepdims=True) + PRIOR) * np.maximum(p, 1e-30))
+            own[of] = np.where(p > 0, SHARE * np.log(np.maximum(ratio, 1e-30)), 0)
     return out
 
 
@@ -405,7 +429,7 @@ def train(counts: DataFrame, encode: Callable[[Callable[[], Vocabulary]], DataFr
     if not model.tokens:
         return model, encoded
     send = lambda m: _from(spark.sparkContext.broadcast((m.head, m.rare, m.weights)), lambda value: Model(*value))
-    observed = _summed(training, _observed(words_only(words)))
+    observed = _summed(training, _observed(words))
     model = Model(head, rare, start(model, observed))
     for k in range(rounds):
         gradient = _summed(training.filter(F.col("row") % rounds == k), _gradient(send(model)))
@@ -414,14 +438,6 @@ def train(counts: DataFrame, encode: Callable[[Callable[[], Vocabulary]], DataFr
     return model, encoded
 
 
-def words_only(words: Callable[[], Vocabulary]) -> Callable:
-    @dataclass
-    class Holder:
-        vocabulary: Vocabulary
-
-    return lambda: Holder(words())
-
-
 def scores(docs: DataFrame, fold: int = 10, out: int = 0, rounds: int = ROUNDS, most: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from rows whose crc32(id) mod fold is not out."""
     spark = docs.sparkSession

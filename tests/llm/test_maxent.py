@@ -31,11 +31,11 @@ def base(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [maxent.HEAD, 40])
-def test_base_scores_against_brute_force(spark, most):
-    # 40: most words are rare ones, which a join scores
+@pytest.mark.parametrize("most, more", [(maxent.HEAD, maxent.MORE), (40, 80)])
+def test_base_scores_against_brute_force(spark, most, more):
+    # 40, 80: most words are rare ones, which a join scores
     rows = [(i, t) for i, t in awkward() if i not in (None, 16)]
-    found = by_id(scores(documents(spark, rows), most=most))
+    found = by_id(scores(documents(spark, rows), most=most, more=more))
     wanted = base(rows)
     assert found.keys() == wanted.keys()
     for i, (out, n, known, train, score) in wanted.items():
@@ -90,12 +90,12 @@ def slow(model, counts, text):
     return total
 
 
-@pytest.mark.parametrize("most", [maxent.HEAD, 60])
-def test_scores_against_a_slow_model(spark, most):
+@pytest.mark.parametrize("most, more", [(maxent.HEAD, maxent.MORE), (60, 120)])
+def test_scores_against_a_slow_model(spark, most, more):
     rows = [(i, t if t is None else t[:3000]) for i, t in awkward()]
     docs = maxent.rows_of(documents(spark, rows))
     counts = keep(spark.createDataFrame(list(Counter(w for i, t in rows if not held(i) for w in maxent.words_of(t or "")).items()), "word binary, c long"), "counts")
-    model, encoded = maxent.train(counts, lambda words: keep(mapped(docs, maxent._encode(words), maxent.ENCODED), "encoded"), most=most)
+    model, encoded = maxent.train(counts, lambda known: keep(mapped(docs, maxent._encode(known), maxent.ENCODED), "encoded"), most=most, more=more)
     assert np.abs(model.weights).max() > 0.1
     have = {bytes(r.word): r.c for r in counts.collect()}
     scored = maxent.scored(model, encoded, counts).collect()

@@ -13,7 +13,7 @@ updates, each from another part of the training documents, so that every one tak
 sum observed less expected counts under the current weights, and each weight moves along its sum,
 scaled by how often it was observed.
 
-The tables of features and the frequent words have fixed sizes (some 20 MB); they are all that executors are
+The tables of features and the MORE most frequent words have fixed sizes (some 25 MB); they are all that executors are
 sent. Counts of rarer words grow with the corpus and never leave the cluster: they are joined with each document's rare words.
 
 Cases: null and empty texts have the end token alone; a null id is held out; repeated rows are scored
@@ -23,6 +23,7 @@ unknown word; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from bisect import bisect_right
 from collections import Counter
@@ -44,6 +45,8 @@ CLASSES, HEAD = SINGLE + GROUPS, SINGLE + GROUPS * (SLOTS - 1)
 SUPER = 16
 #: Ids: words of the head, then rarer words by their classes, then what stands before a text.
 RARE, START = HEAD, HEAD + CLASSES
+#: Words whose counts executors are sent; rarer ones are joined with theirs.
+MORE = 100_000
 
 
 class Level(NamedTuple):
@@ -222,26 +225,38 @@ def _rarer(words: Callable[[], Vocabulary]) -> Callable:
     return run
 
 
-ENCODED = "row long, doc_id long, held_out boolean, ids binary, rare array<struct<word:binary,tf:long>>"
+ENCODED = "row long, doc_id long, held_out boolean, ids binary, n_more long, log_more double, rare array<struct<word:binary,tf:long>>"
 
 
-def _encode(words: Callable[[], Vocabulary]) -> Callable:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))]
+def _encode(known: Callable[[], tuple[Vocabulary, dict[bytes, int]]]) -> Callable:
+    """Ids; of words beyond the head with known counts the number and logarithms; the others with their frequencies."""
     names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        get, row = words().__getitem__, TaskContext.get().partitionId() << 33
+        (vocabulary, more), row = known(), TaskContext.get().partitionId() << 33
+        get, count = vocabulary.__getitem__, more.get
         for b in batches:
-            all_ids, rare = [], []
+            all_ids, n_more, log_more, words, tfs, ends = [], [], [], [], [], [0]
             for text in b.column("text").to_pylist():
                 found = words_of(text)
                 ids = np.fromiter(map(get, found), np.uint16, len(found))
                 all_ids.append(ids.tobytes())
-                rare.append([{"word": w, "tf": n} for w, n in Counter([found[i] for i in np.flatnonzero(ids >= RARE).tolist()]).items()])
-            columns = [np.arange(row, row + b.num_rows), b.column("doc_id"), b.column("held_out"), all_ids, rare]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds, strict=True)], names)
+                n, logs = 0, 0.0
+                for word, tf in Counter([found[i] for i in np.flatnonzero(ids >= RARE).tolist()]).items():
+                    if c := count(word):
+                        n += tf
+                        logs += tf * math.log10(c + ADD)
+                    else:
+                        words.append(word)
+                        tfs.append(tf)
+                n_more.append(n)
+                log_more.append(logs)
+                ends.append(len(words))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(tfs, pa.int64())], ["word", "tf"]))
+            own = [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), pa.array(all_ids, pa.binary()), pa.array(n_more, pa.int64()), pa.array(log_more, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*own, rare], names)
             row += b.num_rows
 
     return run
@@ -373,6 +388,8 @@ def _score(model: Callable[[], Model]) -> Callable:
                 add = lambda x, first=np.cumsum(sizes) - sizes: np.add.reduceat(x, first)
                 own = [b.column(c).slice(part.start, part.stop - part.start) for c in ("row", "doc_id", "held_out")]
                 sums = [sizes, add((token < RARE).astype(np.int64)), add(m.log_count[token] - m.log_all), add(token_scores(m, ids, places))]
+                more = [b.column(c).slice(part.start, part.stop - part.start).to_numpy() for c in ("n_more", "log_more")]
+                sums = [sums[0], sums[1] + more[0], sums[2] + more[1], sums[3] + more[1]]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums)], names)
 
     return run
@@ -390,7 +407,7 @@ def rows_of(docs: DataFrame, fold: int = 10, out: int = 0) -> DataFrame:
     return rows.withColumn("held_out", crc_mod(F.col("doc_id"), fold) == out)
 
 
-def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent words, by falling count: as many whole classes of frequency as have most words at most."""
     level = F.floor(16 * F.log2("c"))
     least, total = None, 0
@@ -415,15 +432,16 @@ def start(model: Model, observed: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(counts: DataFrame, encode: Callable[[Callable[[], Vocabulary]], DataFrame], rounds: int = ROUNDS, most: int = HEAD) -> tuple[Model, DataFrame]:
+def train(counts: DataFrame, encode: Callable[[Callable], DataFrame], rounds: int = ROUNDS, most: int = HEAD, more: int = MORE) -> tuple[Model, DataFrame]:
     """The model and the encoded rows, from counts of the training words."""
     spark = counts.sparkSession
-    head = frequent(counts, most)
+    found = frequent(counts, more)
+    head = found[:most]
     words = _from(spark.sparkContext.broadcast(head), Vocabulary)
     rare = np.zeros((2, CLASSES))
     for r in mapped(counts, _rarer(words), "class long, c long, v long").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
         rare[:, r["class"]] = r.c, r.v
-    encoded = encode(words)
+    encoded = encode(_from(spark.sparkContext.broadcast((head, found[most:])), lambda value: (Vocabulary(value[0]), dict(value[1]))))
     training = encoded.filter("NOT held_out")
     model = Model(head, rare, np.zeros(WEIGHTS, np.float32))
     if not model.tokens:
@@ -438,19 +456,19 @@ def train(counts: DataFrame, encode: Callable[[Callable[[], Vocabulary]], DataFr
     return model, encoded
 
 
-def scores(docs: DataFrame, fold: int = 10, out: int = 0, rounds: int = ROUNDS, most: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, fold: int = 10, out: int = 0, rounds: int = ROUNDS, most: int = HEAD, more: int = MORE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from rows whose crc32(id) mod fold is not out."""
     spark = docs.sparkSession
     rows = rows_of(docs, fold, out)
     counts = keep(mapped(rows.filter("NOT held_out").select("text"), _count, COUNTED).groupBy("word").agg(F.sum("c").alias("c")), "counts")
     free_shuffles(spark)
-    model, encoded = train(counts, lambda words: keep(mapped(rows, _encode(words), ENCODED), "encoded"), rounds, most)
+    model, encoded = train(counts, lambda known: keep(mapped(rows, _encode(known), ENCODED), "encoded"), rounds, most, more)
     return scored(model, encoded, counts)
 
 
 def scored(model: Model, encoded: DataFrame, counts: DataFrame) -> DataFrame:
     sent = _from(encoded.sparkSession.sparkContext.broadcast((model.head, model.rare, model.weights)), lambda value: Model(*value))
-    own = mapped(encoded.select("row", "doc_id", "held_out", "ids"), _score(sent), SCORED)
+    own = mapped(encoded.select("row", "doc_id", "held_out", "ids", "n_more", "log_more"), _score(sent), SCORED)
     rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_rare"))
     return own.join(rare, "row", "left").select(

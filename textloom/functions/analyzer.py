@@ -60,7 +60,17 @@ def _tables() -> tuple[str, str, str]:
 
 def plain(text: Column) -> Column:
     """Whether the Column form applies; about every text of Latin script."""
-    return ~F.rlike(text, F.lit(_tables()[0]))
+    return ascii_only(text) | ~F.rlike(text, F.lit(_tables()[0]))
+
+
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def folded_text(text: Column) -> Column:
+    """A whole text folded (Column form): it holds every term of the text."""
+    _, source, target = _tables()
+    return F.lower(F.when(ascii_only(text), text).otherwise(F.translate(text, source, target)))
 
 
 def words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
-from ..plans.compile import InWords, by_positions, by_text, native
+from ..plans.compile import bound, by_text, by_words, necessary
 from ..plans.query import Query, parse
 
 
@@ -24,31 +24,25 @@ def split_by_script(df: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(plain), df.filter(~plain)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value evaluated once a row, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def search(df: DataFrame, q: str | Query, text: str = "text") -> DataFrame:
     """The rows that match; null texts and null queries match nothing."""
     if q is None:
         return df.limit(0)
     q, col = query(q), F.col(text)
     plain, other = split_by_script(df, col)
-    if native(q, InWords(col)) is None:
-        kept = plain.filter(by_positions(q, InWords(analyzer.folded(col))))
-    else:
-        kept = plain.filter(bound(analyzer.folded(col), lambda words: native(q, InWords(words))))
-    return kept.unionByName(other.filter(by_text(q, col)))
+    if necessary(q, lambda term: F.contains(col, F.lit(term))) is not None:
+        # only texts that hold the characters of what is wanted are analysed
+        plain = plain.filter(bound(analyzer.folded_text(col), lambda t: necessary(q, lambda term: F.contains(t, F.lit(term)))))
+    return plain.filter(by_words(q, analyzer.folded(col))).unionByName(other.filter(by_text(q, col)))
 
 
 def match_column(q: str | Query, words: Column) -> Column:
     """The query on a column of folded words, for use inside larger expressions."""
-    return by_positions(query(q), InWords(words))
+    return by_words(query(q), words)
 
 
-def analyzed(df: DataFrame, text: str = "text", to: str = "words") -> DataFrame:
-    """df with an array of folded words; a word's index is its position. Null texts give null."""
+def analyzed(df: DataFrame, text: str = "text", to: str = "words", use: Callable[[Column], Column] = lambda words: words) -> DataFrame:
+    """df with an array of folded words, or with use of it; a word's index is its position. Null texts give null."""
     @F.arrow_udf("array<string>")
     def slow(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
@@ -56,7 +50,7 @@ def analyzed(df: DataFrame, text: str = "text", to: str = "words") -> DataFrame:
             yield pa.array(out, pa.list_(pa.string()))
 
     plain, other = split_by_script(df, F.coalesce(F.col(text), F.lit("")))
-    return plain.withColumn(to, analyzer.folded(F.col(text))).unionByName(other.withColumn(to, slow(F.col(text))))
+    return plain.withColumn(to, bound(analyzer.folded(F.col(text)), use)).unionByName(other.withColumn(to, bound(slow(F.col(text)), use)))
 
 
 def search_many(df: DataFrame, queries: Iterable[str], text: str = "text", key: str = "doc_id") -> DataFrame:

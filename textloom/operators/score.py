@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.analyzer import is_term
 from ..functions.patterns import hit
+from ..plans.compile import InWords, by_intervals, native, places
 from ..plans.query import Boost, Leaf, Not, Query
-from .match import analyzed, match_column, query
+from ..sources.scratch import scratch
+from .match import analyzed, query
 
 K1, B = 1.2, 0.75
 
@@ -71,20 +73,33 @@ def wanted(leaves: dict[Query, float], term: Column) -> Column:
     return out
 
 
-def collection(words: DataFrame) -> Collection:
-    """Statistics of (doc_id, words); null words are not documents."""
-    n, total = words.filter("words IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum(F.size(F.array_distinct(F.filter("words", is_term)))), F.lit(0))).first()
-    return Collection(n, total)
-
-
 def scored_terms(df: DataFrame, q: str | Query, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Collection]:
-    """Each document's scored terms, with whether the document matches; statistics over all of df."""
+    """Each document's scored terms, with whether the document matches; statistics over all of df.
+
+    Texts are analysed once: what scoring needs of them is written to the shared folder, and the statistics and frequencies read that.
+    """
     q = query(q)
     leaves = weights(q)
-    words = analyzed(df.select(F.col(key).alias("doc_id"), text), text).drop(text).filter("words IS NOT NULL")
-    stats = collection(words)
-    terms = words.select("doc_id", match_column(q, F.col("words")).alias("matches"), F.size(F.array_distinct(F.filter("words", is_term))).alias("doc_terms"), F.filter("words", lambda t: is_term(t) & wanted(leaves, t)).alias("own"))
-    counted = terms.select("doc_id", "matches", "doc_terms", F.explode("own").alias("term")).groupBy("doc_id", "matches", "doc_terms", "term").agg(F.count("*").alias("tf"))
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    split = native(q, InWords(F.col("words"))) is None
+
+    def facts(words: Column) -> Column:
+        terms = F.filter(words, is_term)
+        own = [F.size(F.array_distinct(terms)).alias("doc_terms"), F.filter(terms, lambda t: wanted(leaves, t)).alias("own")]
+        return F.struct(*own, (places(q, InWords(words)) if split else native(q, InWords(words))).alias("matches"))
+
+    found = analyzed(rows, use=facts).select("doc_id", "words.*")
+    if split:
+        found = found.withColumn("matches", by_intervals(q, F.col("matches")))
+    spark = df.sparkSession
+    path = scratch(spark, "scored")
+    found.write.parquet(path)
+    kept = spark.read.schema(found.schema).parquet(path)
+    n, total = kept.agg(F.count("*"), F.coalesce(F.sum("doc_terms"), F.lit(0))).first()
+    # equal rows are documents of their own
+    terms = kept.withColumn("row", F.monotonically_increasing_id()).filter(F.size("own") > 0)
+    counted = terms.select("row", "doc_id", "matches", "doc_terms", F.explode("own").alias("term")).groupBy("row", "doc_id", "matches", "doc_terms", "term").agg(F.count("*").alias("tf")).drop("row")
+    stats = Collection(n, total)
     return term_scores(counted, counted.groupBy("term").agg(F.count("*").alias("df")), leaves, stats), stats
 
 

@@ -7,7 +7,8 @@ NEAR between anything but words. Those are evaluated by an Arrow UDF on the leav
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import analyzer
 from ..functions.patterns import hit
 from ..functions.spans import Document, spans
-from .query import And, AtLeast, Boost, Leaf, Near, Not, Or, Phrase, Query, leaves
+from .query import And, AtLeast, Boost, Fragment, Leaf, Near, Not, Or, Phrase, Prefix, Query, Term, leaves
 
 
 #: Gaps up to which THEN and NEAR are Columns; wider ones go to the interval evaluator.
@@ -110,20 +111,59 @@ def native(q: Query, where: Positions) -> Column | None:
     return None
 
 
-def by_positions(q: Query, where: Positions) -> Column:
-    """The query as a Column, by Arrow UDF over positions where it must be."""
-    found = native(q, where)
-    if found is not None:
-        return found
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def places(q: Query, where: Positions) -> Column:
+    return F.struct(*(where.at(leaf).alias(f"p{i}") for i, leaf in enumerate(leaves(q))))
+
+
+def by_intervals(q: Query, places: Column) -> Column:
+    """The query on a struct of its leaves' positions, by Arrow UDF."""
     own = leaves(q)
 
     @F.arrow_udf("boolean")
     def evaluate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             rows = b.to_pylist()
-            yield pa.array([bool(spans(q, lambda leaf, r=r: sorted(r[f"p{own.index(leaf)}"]))) for r in rows], pa.bool_())
+            yield pa.array([bool(spans(q, lambda leaf, r=r: sorted(r[f"p{own.index(leaf)}"] or ()))) for r in rows], pa.bool_())
+
+    return evaluate(places)
+
 
-    return evaluate(F.struct(*(where.at(leaf).alias(f"p{i}") for i, leaf in enumerate(own))))
+def by_positions(q: Query, where: Positions) -> Column:
+    """The query as a Column, by Arrow UDF over positions where it must be."""
+    found = native(q, where)
+    return by_intervals(q, places(q, where)) if found is None else found
+
+
+def by_words(q: Query, words: Column) -> Column:
+    """The query on an array of folded words, which is evaluated once a row."""
+    if native(q, InWords(words)) is None:
+        return by_intervals(q, bound(words, lambda w: places(q, InWords(w))))
+    return bound(words, lambda w: native(q, InWords(w)))
+
+
+def necessary(q: Query, has: Callable[[str], Column]) -> Column | None:
+    """What a text that matches must hold, by has(characters of a term); None where nothing is known."""
+    every = lambda parts: reduce(Column.__and__, parts) if parts else None
+    either = lambda parts: None if any(c is None for c in parts) else reduce(Column.__or__, parts)
+    parts = lambda of: [necessary(p, has) for p in of]
+    known = lambda of: [c for c in parts(of) if c is not None]
+    if isinstance(q, (Term, Prefix, Fragment)):
+        return has(q.text)
+    if isinstance(q, Boost):
+        return necessary(q.of, has)
+    if isinstance(q, Phrase):
+        slots = [either(parts(slot.choices)) for slot in q.slots]
+        return every([c for c in slots if c is not None])
+    if isinstance(q, (And, Near)):
+        return every(known(p for p in q.parts() if not isinstance(p, Not)))
+    if isinstance(q, (Or, AtLeast)):
+        return either(parts(q.of))
+    return None
 
 
 def by_text(q: Query, text: Column) -> Column:

@@ -160,8 +160,8 @@ class SearchIndex:
         return n
 
     def upsert(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> int:
-        """Adds rows in place of older ones with their keys; of equal keys in df any one row is taken."""
-        rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
+        """Adds rows in place of older ones with their keys; of equal keys in df the row with the largest text is taken."""
+        rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).groupBy("doc_id").agg(F.max("text").alias("text"))
         return self._add(rows, pending=True, replace=True)
 
     def delete(self, ids: DataFrame, key: str = "doc_id") -> None:
@@ -260,7 +260,7 @@ class SearchIndex:
         """The leaf's filter on terms, with the range that Parquet can skip by."""
         found = hit(leaf, term)
         if isinstance(leaf, Prefix):
-            found = found & (term >= leaf.text)
+            found = found & (term >= leaf.text) & (term < leaf.text + "\U0010ffff")
         if isinstance(leaf, Fuzzy):
             n = len(leaf.text.encode())
             found = F.octet_length(term).between(n - leaf.distance, n + leaf.distance) & found

@@ -432,6 +432,13 @@ def start(model: Model, observed: np.ndarray) -> np.ndarray:
     return out
 
 
+def _known(head: list[tuple[bytes, int]], more: list[tuple[bytes, int]]) -> tuple[Vocabulary, dict[bytes, int]]:
+    """The vocabulary, which classes further words once, and their counts."""
+    v = Vocabulary(head)
+    v.update([(w, v[w]) for w, _ in more])
+    return v, dict(more)
+
+
 def train(counts: DataFrame, encode: Callable[[Callable], DataFrame], rounds: int = ROUNDS, most: int = HEAD, more: int = MORE) -> tuple[Model, DataFrame]:
     """The model and the encoded rows, from counts of the training words."""
     spark = counts.sparkSession
@@ -441,7 +448,7 @@ def train(counts: DataFrame, encode: Callable[[Callable], DataFrame], rounds: in
     rare = np.zeros((2, CLASSES))
     for r in mapped(counts, _rarer(words), "class long, c long, v long").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
         rare[:, r["class"]] = r.c, r.v
-    encoded = encode(_from(spark.sparkContext.broadcast((head, found[most:])), lambda value: (Vocabulary(value[0]), dict(value[1]))))
+    encoded = encode(_from(spark.sparkContext.broadcast((head, found[most:])), lambda value: _known(*value)))
     training = encoded.filter("NOT held_out")
     model = Model(head, rare, np.zeros(WEIGHTS, np.float32))
     if not model.tokens:

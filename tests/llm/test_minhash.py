@@ -94,7 +94,8 @@ def test_signatures_are_one_permutation_shifted():
 
 def test_words_hash_to_64_bits_that_do_not_follow_from_each_other():
     words = [b"%08d" % i for i in range(2000)]
-    x = np.array([minhash._hashes[w] for w in words], np.uint64)
+    hashes = minhash._WordHashes()
+    x = np.array([hashes[w] for w in words], np.uint64)
     low, high = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
     assert len(np.unique(low ^ high)) > 1900
 

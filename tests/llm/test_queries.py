@@ -31,5 +31,5 @@ def test_columns(spark):
 
 def test_against_sql(spark):
     db = oracle.database(SF)
-    for name in ("op4_warc", "op5_exact_dedup"):
+    for name in ("op2_minhash", "op3_suffix_dedup", "op4_warc", "op5_exact_dedup"):
         assert not oracle.differences(entry.queries()[name](spark, SF), entry.oracle_sql()[name], db)

@@ -307,5 +307,29 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS shingles
+  FROM split),
+-- equal sets are linked: one document stands for them
+groups AS (SELECT shingles, min(doc_id) AS a FROM sets WHERE len(shingles) > 0 GROUP BY shingles),
+members AS (SELECT a, len(shingles) AS n, unnest(shingles) AS s FROM groups),
+common AS (
+  SELECT x.a, y.a AS b, x.n AS na, y.n AS nb, count(*) AS c
+  FROM members x JOIN members y ON x.s = y.s AND x.a < y.a AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a, a AS b FROM groups UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+components AS (SELECT a, min(b) AS component FROM reached GROUP BY a)
+SELECT d.doc_id, len(d.shingles)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM sets d LEFT JOIN groups g ON d.shingles = g.shingles LEFT JOIN components USING (a)
+"""
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), size=4)

@@ -16,6 +16,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_minhash": minhash.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }

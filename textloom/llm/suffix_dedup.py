@@ -443,5 +443,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return mapped(rows.join(runs, "row", "left").select("doc_id", "text", "runs"), lambda it: _removed(it, length), REMOVED)
 
 
+ORACLE = r"""
+WITH bytes AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+starts AS (SELECT row, unnest(range(n - 199)) AS p, h FROM bytes WHERE n >= 200),
+windows AS (SELECT row, p, md5_number(substr(h, 2 * p + 1, 400)) AS w FROM starts),
+repeated AS (SELECT row, p FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+marked AS (SELECT row, p, coalesce(p > lag(p) OVER (PARTITION BY row ORDER BY p) + 200, true) AS fresh FROM repeated),
+numbered AS (SELECT row, p, sum(fresh::INT) OVER (PARTITION BY row ORDER BY p) AS span FROM marked),
+spans AS (SELECT row, span, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY row, span),
+-- what stays: before each span, and after the last
+gaps AS (
+  SELECT row, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT row, max(b), NULL FROM spans GROUP BY row),
+kept AS (SELECT row, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (coalesce(gaps.b, n) - a))::BIGINT), '' ORDER BY a) AS h FROM gaps JOIN bytes USING (row) GROUP BY row),
+sums AS (SELECT row, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY row)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, bytes.h))) AS kept_sha256
+FROM bytes LEFT JOIN sums USING (row) LEFT JOIN kept USING (row)
+"""
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ from textloom.functions.highlight import highlight, snippet
 from textloom.functions.spans import minimal, spans
 from textloom.plans.query import parse
 from textloom.sources import files
-from textloom.sources.index import SearchIndex
+from textloom.sources.index import MANY, IndexFailure, SearchIndex
 from textloom.streaming.ingest import ingest
 
 
@@ -70,6 +70,24 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/out").first()[0] == "1\ta b"
 
 
+def test_segments_are_checked_merged_when_due_and_estimated(spark, tmp_path):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = SearchIndex.build(docs((1, "a b"), (2, "b c")), f"file://{tmp_path}/i")
+    assert not index.due() and index.selectivity("b") == 1.0 and index.selectivity("zebra") == 0.0
+    index.append(docs((3, "c d")))
+    sized = lambda *sizes: SearchIndex(spark, "x", {"segments": [{"bytes": b} for b in sizes]})
+    assert not sized(100, 25).due() and sized(100, 26).due() and not sized().due()
+    assert sized(100, 50).due(budget=300) and not sized(100, 50).due(budget=299)
+    assert sized(10_000, *[1] * MANY).due() and not sized(10_000, *[1] * (MANY - 1)).due()
+    index.verify()
+    folder = tmp_path / "i" / "segments" / index.manifest["segments"][0]["name"] / "docs"
+    for part in folder.glob("*.parquet"):
+        part.unlink()
+    with pytest.raises(IndexFailure):
+        index.verify()
+    assert SearchIndex.empty(spark, f"file://{tmp_path}/e").selectivity("a") == 0.0
+
+
 def test_stream(spark, tmp_path):
     schema = "doc_id long, text string"
     for i, rows in enumerate(([(1, "big wolf"), (2, "bad")], [(1, "gone"), (3, "wolf")])):
@@ -81,6 +99,15 @@ def test_stream(spark, tmp_path):
     assert {r.doc_id for r in index.docs().collect()} == {1, 2, 3}
 
 
+def test_names_of_the_package():
+    import textloom
+
+    assert textloom.SearchIndex is SearchIndex and textloom.parse is parse and textloom.highlight is highlight
+    assert all(callable(getattr(textloom, name)) for name in textloom.__all__)
+    with pytest.raises(AttributeError):
+        textloom.absent  # noqa: B018
+
+
 def test_entry_module():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())

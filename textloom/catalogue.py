@@ -281,6 +281,18 @@ def bm25_explain(spark: SparkSession, d: str) -> DataFrame:
     return score.explain(docs(spark, d), '"of the" und^2').select("doc_id", F.to_json("explanation").alias("explanation"))
 
 
+@query("bm25_explain_terms", f"""{TOKENS}, q(term, weight) AS (VALUES ('of', 1), ('the', 1), ('und', 2)), n AS (SELECT count(*)::DOUBLE AS n, sum(len(list_distinct(terms)))::DOUBLE / count(*) AS average FROM t),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT term, weight, df, ln(1 + greatest(n - df + 0.5, 0) / (df + 0.5)) AS idf FROM df JOIN q USING (term), n),
+m AS (SELECT doc_id, {adjacent((0, ('of',)), (1, ('the',)))} AND {has('und')} AS matches FROM t)
+SELECT tf.doc_id, tf.term, tf::BIGINT AS tf, df::BIGINT AS df, weight::DOUBLE AS weight, round(idf, 6) AS idf, round(weight * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(list_distinct(terms)) / greatest(average, 1))), 6) AS score, matches
+FROM tf JOIN i USING (term) JOIN t ON t.doc_id = tf.doc_id JOIN m ON m.doc_id = tf.doc_id, n""")
+def bm25_explain_terms(spark: SparkSession, d: str) -> DataFrame:
+    """What bm25_explain says of each term, as rows."""
+    found = score.explain(docs(spark, d), '"of the" und^2').select("doc_id", "explanation.matches", F.explode("explanation.terms").alias("x"))
+    return found.select("doc_id", "matches", "x.term", F.col("x.tf").cast("long").alias("tf"), "x.df", "x.weight", "x.idf", "x.score")
+
+
 # highlighting
 
 
@@ -376,6 +388,52 @@ def index_compacted(spark: SparkSession, d: str) -> DataFrame:
     return index.ids("of")
 
 
+@query("index_prefix", f"{TOKENS} SELECT doc_id FROM t WHERE len(list_filter(terms, lambda x: starts_with(x, 'thon'))) > 0 AND NOT {has('of')}")
+def index_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return build(spark, docs(spark, d)).ids("thon* -of")
+
+
+@query("index_typo", f"{NAMES} SELECT c_custkey AS doc_id FROM t WHERE {any_term(osa1('x', '000000120'))}")
+def index_typo(spark: SparkSession, d: str) -> DataFrame:
+    return build(spark, customers(spark, d), False, "c_custkey", "c_name").ids("000000120~")
+
+
+@query("index_box_top", f"{NAMES} SELECT c_custkey AS doc_id, tier::INT AS tier FROM (SELECT c_custkey, {tier_sql(BOX)} AS tier FROM t) WHERE tier IS NOT NULL ORDER BY tier, doc_id LIMIT 10")
+def index_box_top(spark: SparkSession, d: str) -> DataFrame:
+    return build(spark, customers(spark, d), False, "c_custkey", "c_name").box_top(BOX, 10)
+
+
+@query("index_rows", f"{TOKENS} SELECT t.doc_id, md5(text) AS digest FROM t JOIN documents USING (doc_id) WHERE {has('the')} AND NOT {has('of')}")
+def index_rows(spark: SparkSession, d: str) -> DataFrame:
+    return build(spark, docs(spark, d)).search("the -of").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("index_merged_when_due", f"{TOKENS} SELECT doc_id, 1 AS segments FROM t WHERE {has('of')} AND doc_id % 4 <> 1")
+def index_merged_when_due(spark: SparkSession, d: str) -> DataFrame:
+    index = build(spark, docs(spark, d).filter("doc_id % 2 = 0"))
+    index.append(docs(spark, d).filter("doc_id % 2 = 1"))
+    index.delete(docs(spark, d).filter("doc_id % 4 = 1"))
+    if index.due():
+        index.compact()
+    index.verify()
+    return index.ids("of").withColumn("segments", F.lit(index.segments().count()))
+
+
+@query("index_truncated", f"{TOKENS} SELECT doc_id FROM t WHERE {has('of')} AND doc_id % 3 = 0")
+def index_truncated(spark: SparkSession, d: str) -> DataFrame:
+    index = build(spark, docs(spark, d))
+    index.truncate()
+    index.append(docs(spark, d).filter("doc_id % 3 = 0"))
+    return index.ids("of")
+
+
+@query("index_selectivity", f"""{TOKENS}, s AS (SELECT avg(({has('the')})::INT) AS a, avg(({has('of')})::INT) AS b FROM t)
+SELECT round(a, 6) AS one, round(a * b, 6) AS both, round(1 - (1 - a) * (1 - b), 6) AS either FROM s""")
+def index_selectivity(spark: SparkSession, d: str) -> DataFrame:
+    index = build(spark, docs(spark, d))
+    return spark.createDataFrame([tuple(round(index.selectivity(q), 6) for q in ("the", "the of", "the OR of"))], "one double, both double, either double")
+
+
 @query("segment_stats", f"{TOKENS} SELECT (doc_id % 2 = 1) AS pending, count(*) AS docs, sum(len(list_distinct(terms)))::BIGINT AS postings FROM t GROUP BY 1")
 def segment_stats(spark: SparkSession, d: str) -> DataFrame:
     index = build(spark, docs(spark, d).filter("doc_id % 2 = 0"))

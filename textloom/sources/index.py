@@ -32,6 +32,8 @@ GRAMS = "gram string, term string"
 TOMBSTONES = "doc_id long, before long"
 #: Pending rows beyond which append() flushes; segments of one size class that are merged.
 PENDING_ROWS, MERGE = 100_000, 4
+#: Segments above which they are due to become one.
+MANY = 12
 
 
 class IndexFailure(ValueError):
@@ -188,6 +190,14 @@ class SearchIndex:
             if len(group) >= MERGE:
                 self._merge(group)
 
+    def due(self, budget: int | None = None) -> bool:
+        """Whether segments should become one: the others hold over a quarter of the largest's bytes, or they are more than
+        MANY; with a budget, only if all of them fit it twice."""
+        sizes = sorted(s["bytes"] for s in self.manifest["segments"])
+        if len(sizes) < 2 or budget is not None and 2 * sum(sizes) > budget:
+            return False
+        return len(sizes) > MANY or 4 * sum(sizes[:-1]) > sizes[-1]
+
     def _merge(self, group: list[dict]) -> None:
         """Live rows of the segments as one; postings are joined, not made again."""
         if not group:
@@ -391,6 +401,21 @@ class SearchIndex:
 
         return of(q) * n
 
+    def selectivity(self, q: str | Query) -> float:
+        """The share of rows that a query may match, from 0 to 1."""
+        held = sum(s["docs"] for s in self.manifest["segments"])
+        return min(1.0, max(0.0, self.estimate(q) / held)) if held else 0.0
+
+    def verify(self) -> None:
+        """Reads every segment and raises if it doesn't hold the rows that the manifest states."""
+        for s in self.manifest["segments"]:
+            try:
+                found = self._measure(s["name"])
+            except Exception as error:
+                raise IndexFailure(f"segment {s['name']} can't be read") from error
+            if (found["docs"], found["postings"], found["bytes"]) != (s["docs"], s["postings"], s["bytes"]):
+                raise IndexFailure(f"segment {s['name']} is damaged: {found}, not {s}")
+
     def segments(self) -> DataFrame:
         rows = [(i, s["name"], s["docs"], s["postings"], s["bytes"], s["pending"]) for i, s in enumerate(self.manifest["segments"])]
         return self.spark.createDataFrame(rows, "segment int, name string, docs long, postings long, bytes long, pending boolean")

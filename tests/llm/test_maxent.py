@@ -107,6 +107,32 @@ def test_scores_against_a_slow_model(spark, most, more):
             assert r.score == pytest.approx(wanted[texts[r.doc_id]], rel=1e-4, abs=1e-3)
 
 
+def test_words_of_a_batch_are_those_of_its_texts():
+    texts = [t or "" for _, t in awkward()] + ["ends in space ", "next", "", " ", "", "MiXeD\x00 \x1c\x1f nul", "last"]
+    whole = pa.array(texts)
+    for lo, hi in [(0, len(texts)), (3, 9), (len(texts) - 7, len(texts)), (1, 2), (0, 0)]:
+        words, tokens, ends = maxent.words_of_all(whole.slice(lo, hi - lo))
+        words = words.to_pylist()
+        assert len(words) == len(set(words)) and words[-1] == maxent.END
+        assert [[words[i] for i in run] for run in np.split(tokens, ends)[:-1]] == [maxent.words_of(t) for t in texts[lo:hi]]
+        assert not len(ends) or ends[-1] == len(tokens)
+
+
+def test_steps_sum_rows_that_meet():
+    # float32 sums would lose the last ones
+    level, rng = maxent.LEVELS[2], np.random.default_rng(3)
+    table = np.zeros((level.nodes * level.rows, level.outcomes))
+    table[5] = 2.0**30
+    rows = rng.integers(0, 7, (3, 100))
+    p = rng.random((100, level.outcomes)).astype(np.float32)
+    wanted = table.copy()
+    for i in range(100):
+        for r in rows[:, i]:
+            wanted[r] -= p[i]
+    maxent.Step(level).subtract(table, rows, p)
+    assert np.allclose(table, wanted, rtol=0, atol=1e-5)
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     counts = {b"w%d" % i: int(900 / (i + 1)) + 1 for i in range(300)} | {maxent.END: 40}

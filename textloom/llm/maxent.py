@@ -26,9 +26,9 @@ from __future__ import annotations
 import math
 import uuid
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -74,10 +74,14 @@ PRIOR, SHARE = 5.0, 0.4
 ADD = 0.1
 END = b"\n"
 #: Tokens that one array operation takes, and that are held at once.
-CHUNK, HELD = 16_384, 200_000
+STEP, HELD = 4096, 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: For each byte: whether it parts words, and its lower case (A-Z).
+SPACE, LOWER = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8)), np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased (A-Z) words and the end token, which no word equals."""
     words = text.encode().lower().split()
@@ -85,6 +89,31 @@ def words_of(text: str) -> list[bytes]:
     return words
 
 
+def words_of_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts (the last one: END), the number of each token's word, and each text's end among the tokens."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    own = ends[:-1][ends[:-1] < len(data)]
+    first[own] = inside[own]  # words don't go on from text to text
+    starts = np.flatnonzero(first)
+    letters = LOWER[data[inside]]
+    bounds = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+    words = pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())])
+    ends = np.searchsorted(starts, ends[1:]) + np.arange(1, len(texts) + 1)
+    tokens = np.full(len(starts) + len(texts), len(words) - 1, np.int64)
+    of_words = np.ones(len(tokens), bool)
+    of_words[ends - 1] = False
+    tokens[of_words] = found.indices.to_numpy()
+    return words, tokens, ends
+
+
 class Vocabulary(dict):
     """word -> id; head: (word, count) by falling count. Rarer words are classed when asked for."""
 
@@ -145,69 +174,81 @@ class Model:
             self.priors = [np.nan_to_num(np.log(x / x.sum(axis=1, keepdims=True)), nan=-np.inf, neginf=-np.inf).astype(np.float32) for x in shares]
         self.tables = tables(self.weights)
 
+    @cached_property
+    def odds(self) -> list[np.ndarray]:
+        """exp of the tables, the prior within each node's first feature. A weight is a damped logarithm of a ratio of counts
+        and some steps, so a product of three is far from what single precision can't hold."""
+        out = []
+        for level, table, prior in zip(LEVELS, self.tables, self.priors, strict=True):
+            own = np.exp(table)
+            own.reshape(level.nodes, level.rows, level.outcomes)[:, : 1 << level.bits[0]] *= np.exp(prior)[:, None]
+            out.append(own)
+        return out
+
 
 def keys_of(ids: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """The features of the contexts."""
+    """The features of the contexts, hashed."""
     one, two = (ids[places - k].astype(np.uint64) for k in (1, 2))
-    return [one, two, two << np.uint64(16) | one]
+    return [(key + np.uint64(1)) * MIX for key in (one, two, two << np.uint64(16) | one)]
 
 
 def rows_of_features(level: Level, nodes: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     """(features, places) rows of a level's table, each feature in rows of its own."""
-    out = np.empty((len(keys), len(nodes)), np.uint16)
-    base = 0
+    out = np.empty((len(keys), len(nodes)), np.int64)
+    base = nodes * level.rows
     for row, key, b in zip(out, keys, level.bits, strict=True):
-        row[:] = ((key + np.uint64(1)) * MIX >> np.uint64(64 - b)).astype(np.int64) + nodes * level.rows + base
+        np.add((key >> np.uint64(64 - b)).view(np.int64), base, out=row)
         base += 1 << b
     return out
 
 
-def probabilities(table: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(places, outcomes): the softmax of the features' weights and the prior."""
-    z = np.take(table, rows[0], axis=0)
-    for row in rows[1:]:
-        z += np.take(table, row, axis=0)
-    z += prior
-    z -= z.max(axis=1, keepdims=True)
-    np.maximum(z, -80, out=z)  # smaller ones only cost time
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def _subtract(table: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
-    """table[rows[k, i]] -= p[i] for all k and i, rows that meet summed first."""
-    columns = np.ascontiguousarray(p.T, dtype=float)
-    for row in rows:
-        order = np.argsort(row, kind="stable")
-        sorted_ = row[order]
-        first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-        own = np.empty(len(row), np.int64)
-        own[order] = np.cumsum(first) - 1
-        met = sorted_[first]
-        sums = np.empty((len(columns), len(met)))
-        for out, weights in zip(sums, columns, strict=True):
-            out[:] = np.bincount(own, weights, len(met))
-        table[met] -= sums.T
+class Step:
+    """Array operations on a level, for STEP places at most, in memory that is taken once: new pages cost more than sums."""
+
+    def __init__(self, level: Level):
+        self.p, self.factor, self.numbers = (np.empty((STEP, level.outcomes), t) for t in (np.float32, np.float32, float))
+        self.pairs = np.arange(level.outcomes // 2)
+        self.places = np.empty((STEP, len(self.pairs)), np.int64)
+
+    def products(self, odds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, outcomes) probabilities but for a factor of each place, and the factors."""
+        p, factor = self.p[: rows.shape[1]], self.factor[: rows.shape[1]]
+        np.take(odds, rows[0], axis=0, out=p, mode="clip")
+        for row in rows[1:]:
+            np.take(odds, row, axis=0, out=factor, mode="clip")
+            p *= factor
+        return p, np.einsum("ij->i", p)
+
+    def subtract(self, table: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+        """table[rows[k, i]] -= p[i] for all k and i, two outcomes at once as a complex number."""
+        numbers, places = self.numbers[: len(p)], self.places[: len(p)]
+        numbers[:] = p
+        table, numbers = (x.reshape(-1).view(np.complex128) for x in (table, numbers))
+        for row in rows:
+            np.add((row * len(self.pairs))[:, None], self.pairs, out=places)
+            np.subtract.at(table, places.reshape(-1), numbers)
 
 
 COUNTED = "word binary, c long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    pending, held = [], 0
 
-    def table() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+    def merged() -> pa.Table:
+        return pa.concat_tables(pending).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            counts.update(words_of(text))
-            if len(counts) >= 300_000:
-                yield table()
-                counts.clear()
-    if counts:
-        yield table()
+        words, tokens, _ = words_of_all(b.column("text"))
+        pending.append(pa.table({"word": words, "c": np.bincount(tokens, minlength=len(words))}))
+        held += len(words)
+        if held >= 600_000:
+            pending = [merged()]
+            if (held := pending[0].num_rows) >= 300_000:
+                yield from pending[0].to_batches()
+                pending, held = [], 0
+    if pending:
+        yield from merged().to_batches()
 
 
 def _rarer(words: Callable[[], Vocabulary]) -> Callable:
@@ -238,24 +279,25 @@ def _encode(known: Callable[[], tuple[Vocabulary, dict[bytes, int]]]) -> Callabl
         (vocabulary, more), row = known(), TaskContext.get().partitionId() << 33
         get, count = vocabulary.__getitem__, more.get
         for b in batches:
-            all_ids, n_more, log_more, words, tfs, ends = [], [], [], [], [], [0]
-            for text in b.column("text").to_pylist():
-                found = words_of(text)
-                ids = np.fromiter(map(get, found), np.uint16, len(found))
-                all_ids.append(ids.tobytes())
-                n, logs = 0, 0.0
-                for word, tf in Counter([found[i] for i in np.flatnonzero(ids >= RARE).tolist()]).items():
-                    if c := count(word):
-                        n += tf
-                        logs += tf * math.log10(c + ADD)
-                    else:
-                        words.append(word)
-                        tfs.append(tf)
-                n_more.append(n)
-                log_more.append(logs)
-                ends.append(len(words))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(tfs, pa.int64())], ["word", "tf"]))
-            own = [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), pa.array(all_ids, pa.binary()), pa.array(n_more, pa.int64()), pa.array(log_more, pa.float64())]
+            words, tokens, ends = words_of_all(b.column("text"))
+            found = words.to_pylist()
+            own_ids = np.fromiter(map(get, found), np.uint16, len(found))
+            all_ids = own_ids[tokens]
+            logs = np.full(len(found), np.nan)
+            for i in np.flatnonzero(own_ids >= RARE).tolist():
+                if c := count(found[i]):
+                    logs[i] = math.log10(c + ADD)
+            places = np.flatnonzero(all_ids >= RARE)
+            words_there, texts_there = tokens[places], np.searchsorted(ends, places, "right")
+            logs = logs[words_there]
+            has = ~np.isnan(logs)
+            n_more, log_more = np.bincount(texts_there[has], minlength=b.num_rows), np.bincount(texts_there[has], logs[has], b.num_rows)
+            pairs, tfs = np.unique(texts_there[~has] * len(found) + words_there[~has], return_counts=True)
+            upto = np.searchsorted(pairs, np.arange(b.num_rows + 1) * len(found)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays([words.take(pa.array(pairs % len(found))), pa.array(tfs)], ["word", "tf"]))
+            bounds = np.concatenate([[0], ends * all_ids.itemsize]).astype(np.int32)
+            all_ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(bounds), pa.py_buffer(all_ids)])
+            own = [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), all_ids, pa.array(n_more, pa.int64()), pa.array(log_more, pa.float64())]
             yield pa.RecordBatch.from_arrays([*own, rare], names)
             row += b.num_rows
 
@@ -316,14 +358,16 @@ def _summed(encoded: DataFrame, run: Callable) -> np.ndarray:
     return out
 
 
-def observations(v: Vocabulary, ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: numbers of the tokens that have it, and their rows, nodes and outcomes."""
+def observations(v: Vocabulary, ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level: numbers of the tokens that have it, their rows and outcomes, in the order of the first feature's rows."""
     token, keys = ids[places], keys_of(ids, places)
     for level, nodes, outcomes in zip(LEVELS, v.nodes, v.outcomes, strict=True):
         node = nodes[token]
         some = np.flatnonzero(node >= 0)
-        node = node[some]
-        yield some, rows_of_features(level, node, [k[some] for k in keys]), node, outcomes[token[some]]
+        rows = rows_of_features(level, node[some], [k[some] for k in keys] if len(some) < len(token) else keys)
+        order = np.argsort(rows[0].astype(np.uint16), kind="stable")  # a table has fewer rows than 65,536
+        some = some[order]
+        yield some, np.take(rows, order, axis=1), outcomes[token[some]]
 
 
 def _observed(words: Callable[[], Vocabulary]) -> Callable:
@@ -334,9 +378,8 @@ def _observed(words: Callable[[], Vocabulary]) -> Callable:
         for b in batches:
             texts = b.column("ids").to_pylist()
             for part in _slices(texts):
-                for own, level, (_, rows, _, outcomes) in zip(tables(out), LEVELS, observations(v, *_joined(texts[part])), strict=True):
-                    flat = rows.astype(np.int64) * level.outcomes + outcomes
-                    own += np.bincount(flat.ravel(), minlength=own.size).reshape(own.shape)
+                for own, level, (_, rows, outcomes) in zip(tables(out), LEVELS, observations(v, *_joined(texts[part])), strict=True):
+                    np.add.at(own.reshape(-1), (rows * level.outcomes + outcomes).ravel(), 1.0)
         yield from _blocks(out)
 
     return run
@@ -346,16 +389,18 @@ def _gradient(model: Callable[[], Model]) -> Callable:
     """Observed less expected counts of (feature, outcome), under the current weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = model(), np.zeros(WEIGHTS, np.float32)
+        m, out, steps = model(), np.zeros(WEIGHTS), [Step(level) for level in LEVELS]
         for b in batches:
             texts = b.column("ids").to_pylist()
             for part in _slices(texts):
-                for own, table, prior, (_, rows, nodes, outcomes) in zip(tables(out), m.tables, m.priors, observations(m.vocabulary, *_joined(texts[part])), strict=True):
-                    for a in range(0, len(nodes), CHUNK):
-                        of = slice(a, a + CHUNK)
-                        p = probabilities(table, prior[nodes[of]], rows[:, of])
+                found = observations(m.vocabulary, *_joined(texts[part]))
+                for step, own, odds, (_, rows, outcomes) in zip(steps, tables(out), m.odds, found, strict=True):
+                    for a in range(0, len(outcomes), STEP):
+                        of = slice(a, a + STEP)
+                        p, sums = step.products(odds, rows[:, of])
+                        p /= sums[:, None]
                         p[np.arange(len(p)), outcomes[of]] -= 1
-                        _subtract(own, rows[:, of], p)
+                        step.subtract(own, rows[:, of], p)
         yield from _blocks(out, half=True)
 
     return run
@@ -367,11 +412,12 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, b
 def token_scores(m: Model, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """log10 probabilities of the tokens; of rare words without the logarithm of their count."""
     out = np.zeros(len(places))
-    for table, prior, (some, rows, nodes, outcomes) in zip(m.tables, m.priors, observations(m.vocabulary, ids, places), strict=True):
-        for a in range(0, len(nodes), CHUNK):
-            of = slice(a, a + CHUNK)
-            p = probabilities(table, prior[nodes[of]], rows[:, of])
-            out[some[of]] += np.log10(np.maximum(p[np.arange(len(p)), outcomes[of]].astype(float), 1e-30))
+    for step, odds, (some, rows, outcomes) in zip(map(Step, LEVELS), m.odds, observations(m.vocabulary, ids, places), strict=True):
+        for a in range(0, len(some), STEP):
+            of = slice(a, a + STEP)
+            p, sums = step.products(odds, rows[:, of])
+            own = p[np.arange(len(p)), outcomes[of]] / sums
+            out[some[of]] += np.log10(np.maximum(own.astype(float), 1e-30))
     return out - m.log_rest[ids[places]]
 
 

@@ -37,3 +37,18 @@ assert names and not any(n.startswith("op") or n == "pipeline" for n in names -
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_an_error_inside_the_subpackage_is_an_error():
+    """A broken import must not pass for an absent subpackage."""
+    code = """
+import sys
+class Finder:
+    def find_spec(self, name, path=None, target=None):
+        if name == "textloom.llm.maxent":
+            raise ImportError("broken inside")
+sys.meta_path.insert(0, Finder())
+import __spark_entry__
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True)
+    assert done.returncode and "broken inside" in done.stderr

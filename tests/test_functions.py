@@ -100,6 +100,39 @@ def test_one_large_append_stays_pending(spark, tmp_path):
     assert sorted((r.pending, r.docs) for r in index.segments().collect()) == [(False, 5), (False, PENDING_ROWS + 6)]
 
 
+def test_postings_are_made_where_their_documents_are(spark, tmp_path, monkeypatch):
+    """No word or posting is dealt out by range, in building or in merging, and texts are joined without sorting them."""
+    rows = spark.range(0, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("a w"), "id").alias("text"))
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda *_: pytest.fail("dealt out by range"))
+    index = SearchIndex.build(rows.filter("doc_id < 20"), f"file://{tmp_path}/i")
+    index.append(rows.filter("doc_id >= 20"))
+    index.delete(rows.filter("doc_id % 10 = 3"))
+    index.compact()
+    assert index.count("a") == 36 and index.count("w3 OR w4") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.search("a -w4")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and found.count() == 35
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tombstones_go_when_they_hide_nothing(spark, tmp_path):
+    """A first batch has nothing to replace; a flush keeps the tombstones that older segments need."""
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = SearchIndex.empty(spark, f"file://{tmp_path}/i")
+    index.upsert(docs((1, "a"), (2, "a")))
+    assert index.manifest["tombstones"] == []
+    index.flush()
+    index.upsert(docs((2, "b")))
+    index.upsert(docs((3, "a"), (2, "c")))
+    assert len(index.manifest["tombstones"]) == 2
+    index.flush()
+    assert len(index.manifest["tombstones"]) == 2 and {r.doc_id for r in index.ids("a").collect()} == {1, 3} and index.count("b") == 0
+    index.compact()
+    assert index.manifest["tombstones"] == [] and index.manifest["buried"] == {} and index.count("a OR c") == 3
+
+
 def test_stream(spark, tmp_path):
     schema = "doc_id long, text string"
     for i, rows in enumerate(([(1, "big wolf"), (2, "bad")], [(1, "gone"), (3, "wolf")])):

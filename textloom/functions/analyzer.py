@@ -7,6 +7,7 @@ to more than MAX_TERM_BYTES keeps its number but is no term.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 MAX_TERM_BYTES = 64
 
-#: Words of Latin text; alternatives are joined as UAX #29 joins letters, digits and underscores.
-WORD = r"(?:\p{L}(?:[:.'’‘·]\p{L})*|\p{Nd}(?:[,;.'’‘]\p{Nd})*|_)+"
-_WORD = regex.compile(WORD)
+#: Words of Latin text: runs of letters, digits and underscores with one of the former two, joined as UAX #29 joins them.
+#: Possessive and by runs, so that a match takes neither a step of recursion a character nor a second look at it.
+WORD = r"(?<!_)_*+[\p{L}\p{Nd}][\p{L}\p{Nd}_]*+(?:(?:(?<=\p{L})[:.'’‘·](?=\p{L})|(?<=\p{Nd})[,;.'’‘](?=\p{Nd}))[\p{L}\p{Nd}_]++)*+"
 _ASCII_WORD = regex.compile(r"(?:[A-Za-z](?:[:.'][A-Za-z])*|[0-9](?:[,;.'][0-9])*|_)+")
 #: Characters that the Column form handles as the Python form does.
 _LAST = 0x024F
@@ -73,15 +74,9 @@ def folded_text(text: Column) -> Column:
     return F.lower(F.when(ascii_only(text), text).otherwise(F.translate(text, source, target)))
 
 
-def words(text: Column) -> Column:
-    """The words in order (Column form)."""
-    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.translate(w, "_", "") != "")
-
-
 def folded(text: Column) -> Column:
-    """Each word's folded form; its index is its position."""
-    _, source, target = _tables()
-    return F.transform(words(text), lambda w: F.lower(F.translate(w, source, target)))
+    """Each word's folded form; its index is its position. Folding turns letters into letters, so the whole text is folded first."""
+    return F.regexp_extract_all(folded_text(text), F.lit(WORD), F.lit(0))
 
 
 def is_term(term: Column) -> Column:
@@ -197,3 +192,54 @@ def analyze(text: str) -> list[tuple[str, int, int, int]]:
 
 def term_list(text: str) -> list[str]:
     return [t for t, *_ in analyze(text)]
+
+
+# the Python form in bulk: whole texts are folded and split by C functions, to the same words as word_spans() and fold()
+
+_NOT_PLAIN = re.compile("[^\x00-\x7f" + "".join(map(chr, _PLAIN)) + "]")
+_JOINERS = ":.,;'’‘·"
+#: Joiners that join nothing.
+_LOOSE = re.compile(rf"[{_JOINERS}](?!(?<=[^\W\d_][:.'’‘·])[^\W\d_]|(?<=\d[,;.'’‘])\d)")
+#: Two joiners and what the micro sign folds to are beyond Latin-1; they travel as controls, which plain texts don't hold.
+_CARRIED = {"’": "\x91", "‘": "\x92", "μ": "\x93"}
+_SPACED = re.compile("[–—“”„…€]")
+
+
+def _spaced(c: str) -> str:
+    """A plain character folded, or a space where it can't be in a word."""
+    return fold(c) if c.isalnum() or c == "_" else c if c in _JOINERS else " "
+
+
+_FOLDED = {c: _spaced(chr(c)) for c in [*range(128), *_PLAIN]}
+_BYTES = bytes(ord(_CARRIED.get(c, c)) for c in (_FOLDED.get(c, chr(c)) for c in range(256)))
+
+
+def word_list(text: str) -> list[str]:
+    """Each word's folded form; its index is its position."""
+    if text.isascii():
+        text = text.translate(_FOLDED)
+    elif _NOT_PLAIN.search(text):
+        return [fold(text[a:b]) for a, b in word_spans(text)]
+    else:
+        carried = _SPACED.sub(" ", text)
+        for c in "’‘":
+            carried = carried.replace(c, _CARRIED[c])
+        try:
+            text = carried.encode("latin-1").translate(_BYTES).decode("latin-1")
+            for c, control in _CARRIED.items():
+                text = text.replace(control, c)
+        except UnicodeEncodeError:
+            text = text.translate(_FOLDED)
+    found = _LOOSE.sub(" ", text).split()
+    return [w for w in found if w.strip("_")] if "_" in text else found
+
+
+def is_term_text(word: str) -> bool:
+    return 0 < len(word.encode()) <= MAX_TERM_BYTES
+
+
+def distinct_terms(words: list[str]) -> int:
+    """How many terms a text of these words has."""
+    found = set(words)
+    longest = max(map(len, found), default=0)
+    return len(found) - ("" in found) if 4 * longest <= MAX_TERM_BYTES else sum(map(is_term_text, found))

@@ -58,6 +58,23 @@ class InArrays:
         return self.arrays[leaf]
 
 
+class InFlags:
+    """Whether each leaf occurs: enough for a query without phrases and proximity."""
+
+    def __init__(self, flags: dict[Query, Column]):
+        self.flags = flags
+
+    def has(self, leaf: Query) -> Column:
+        return self.flags[leaf]
+
+    def at(self, leaf: Query) -> Column:
+        raise NotImplementedError
+
+
+def needs_positions(q: Query) -> bool:
+    return isinstance(q, (Phrase, Near)) or any(map(needs_positions, q.parts()))
+
+
 def _single(q: Query) -> list[Query] | None:
     """The leaves, if the query's intervals are single words."""
     if isinstance(q, Boost):

@@ -1,5 +1,6 @@
 """Words, folding and positions, and that the Column form equals the Python form."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -83,3 +84,11 @@ def test_postings_of_a_task(monkeypatch):
         if run == 2_000_000:
             assert [t for _, t, *_ in found] == sorted((t for _, t, *_ in found), key=str.encode)
     assert list(P.postings(iter(pa.table({"doc_id": [1], "text": [""]}).to_batches()))) == []
+
+
+def test_long_runs_in_column_form(spark):
+    """A run of letters and digits, or of underscores, takes neither a stack frame a character nor quadratic time."""
+    texts = ["a1" * 100_000, "É1" * 100_000 + " b", "_" * 100_000, "_" * 100_000 + "é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.transform(A.folded(F.col("text")), F.md5).alias("words")).collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert {r.i: r.words for r in rows} == {i: [md5(w) for w in A.word_list(t)] for i, t in enumerate(texts)}

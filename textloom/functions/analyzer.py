@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 MAX_TERM_BYTES = 64
 
-#: Words of Latin text: runs of letters, digits and underscores with one of the former two, joined as UAX #29 joins them.
-#: Possessive and by runs, so that a match takes neither a step of recursion a character nor a second look at it.
-WORD = r"(?<!_)_*+[\p{L}\p{Nd}][\p{L}\p{Nd}_]*+(?:(?:(?<=\p{L})[:.'’‘·](?=\p{L})|(?<=\p{Nd})[,;.'’‘](?=\p{Nd}))[\p{L}\p{Nd}_]++)*+"
+#: Words of folded Latin text: runs of letters, digits and underscores with one of the former two, joined as UAX #29 joins them.
+#: Possessive and by runs, so that a match takes no step of recursion a character; what fails most often is looked at first.
+WORD = r"(?:[a-z0-9\p{L}]|_(?<!__)_*+[a-z0-9\p{L}])[\w\p{L}]*+(?:[:.,;'’‘·](?:(?<=\p{L}[:.'’‘·])(?=\p{L})|(?<=[0-9][,;.'’‘])(?=[0-9]))[\w\p{L}]++)*+"
+ASCII_WORD = r"(?:[a-z0-9]|_(?<!__)_*+[a-z0-9])\w*+(?:[:.,;'](?:(?<=[a-z][:.'])(?=[a-z])|(?<=[0-9][,;.'])(?=[0-9]))\w++)*+"
 _ASCII_WORD = regex.compile(r"(?:[A-Za-z](?:[:.'][A-Za-z])*|[0-9](?:[,;.'][0-9])*|_)+")
 #: Characters that the Column form handles as the Python form does.
 _LAST = 0x024F
@@ -76,7 +77,8 @@ def folded_text(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Each word's folded form; its index is its position. Folding turns letters into letters, so the whole text is folded first."""
-    return F.regexp_extract_all(folded_text(text), F.lit(WORD), F.lit(0))
+    found = lambda t, word: F.regexp_extract_all(t, F.lit(word), F.lit(0))
+    return F.when(ascii_only(text), found(F.lower(text), ASCII_WORD)).otherwise(found(folded_text(text), WORD))
 
 
 def is_term(term: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
-from ..plans.compile import bound, by_text, by_words, necessary
+from ..plans.compile import bound, by_text, by_words, necessary, needs_positions
 from ..plans.query import Query, parse
 
 
@@ -29,6 +29,9 @@ def search(df: DataFrame, q: str | Query, text: str = "text") -> DataFrame:
     if q is None:
         return df.limit(0)
     q, col = query(q), F.col(text)
+    if needs_positions(q):
+        # one bulk analysis takes less than it takes to fold a text for a first look
+        return df.filter(by_text(q, col))
     plain, other = split_by_script(df, col)
     if necessary(q, lambda term: F.contains(col, F.lit(term))) is not None:
         # only texts that hold the characters of what is wanted are analysed

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analyzer
 from ..functions.patterns import hit
-from ..functions.spans import Document, spans
+from ..functions.spans import Finder, spans
 from .query import And, AtLeast, Boost, Fragment, Leaf, Near, Not, Or, Phrase, Prefix, Query, Term, leaves
 
 
@@ -38,12 +38,18 @@ class InWords:
         self.words = words
 
     def has(self, leaf: Query) -> Column:
-        return F.exists(self.words, lambda t: analyzer.is_term(t) & hit(leaf, t))
+        if isinstance(leaf, Term) and analyzer.is_term_text(leaf.text):
+            return F.array_contains(self.words, leaf.text)
+        return F.exists(self.words, lambda t: self._is(leaf, t))
 
     def at(self, leaf: Query) -> Column:
-        places = F.transform(self.words, lambda t, i: F.when(analyzer.is_term(t) & hit(leaf, t), i).otherwise(F.lit(-1)))
+        places = F.transform(self.words, lambda t, i: F.when(self._is(leaf, t), i).otherwise(F.lit(-1)))
         return F.filter(places, lambda p: p >= 0)
 
+    @staticmethod
+    def _is(leaf: Query, word: Column) -> Column:
+        return hit(leaf, word) if isinstance(leaf, Term) and analyzer.is_term_text(leaf.text) else analyzer.is_term(word) & hit(leaf, word)
+
 
 class InArrays:
     """Positions gathered from postings: one array Column for each leaf."""
@@ -184,11 +190,12 @@ def necessary(q: Query, has: Callable[[str], Column]) -> Column | None:
 
 
 def by_text(q: Query, text: Column) -> Column:
-    """The query on any text, by the Python analyzer."""
+    """The query on any text, by the Python analyzer in bulk."""
 
     @F.arrow_udf("boolean")
     def evaluate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finder = Finder(leaves(q))
         for b in batches:
-            yield pa.array([None if t is None else Document(t).matches(q) for t in b.to_pylist()], pa.bool_())
+            yield pa.array([None if t is None else bool(spans(q, finder.places(analyzer.word_list(t)).__getitem__)) for t in b.to_pylist()], pa.bool_())
 
     return evaluate(text)

@@ -156,3 +156,10 @@ def test_names_of_the_package():
 def test_entry_module():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_document_statistics_split_no_text_by_expression(spark):
+    from textloom import catalogue
+
+    found = catalogue.QUERIES["doc_stats"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import analyzer, registry
+from .functions import analyzer, postings, registry
 from .operators import match, score, searchbox
 from .sources.index import SearchIndex
 from .sources.scratch import scratch
@@ -171,7 +171,7 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 @query("doc_stats", f"{TOKENS} SELECT count(*) AS docs, sum(len(list_distinct(terms)))::BIGINT AS postings, round(avg(len(list_distinct(terms))), 6) AS average FROM t")
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    terms = match.analyzed(docs(spark, d)).filter("words IS NOT NULL").select(F.size(F.array_distinct(F.filter("words", analyzer.is_term))).alias("n"))
+    terms = docs(spark, d).select("text").filter("text IS NOT NULL").mapInArrow(postings.lengths, "n int")
     return terms.agg(F.count("*").alias("docs"), F.sum("n").alias("postings"), F.round(F.avg("n"), 6).alias("average"))
 
 

@@ -17,6 +17,12 @@ _PIECE = 200_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32()))])
 
 
+def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n) from (text): how many distinct terms each has; no text is null."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([distinct_terms(word_list(t)) for t in b.column(0).to_pylist()], pa.int32())], ["n"])
+
+
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, doc_terms) from (doc_id, text); no text is null."""
     for b in batches:

@@ -143,3 +143,19 @@ def test_random_queries_agree(spark, tmp_path):
         assert {i for source, i in found if source == s} == want, s
     for s in sources[:8]:
         assert ids(index.ids(s)) == {i for i, t in enumerate(texts) if brute(parse(s), t)}, s
+
+
+def test_positional_queries_and_scores_analyse_once(spark):
+    """One scan and no union for positions; scores group no rows again and sort for no join."""
+    df = spark.createDataFrame([(1, "of all the"), (1, "of all the"), (2, "the of 日本"), (3, None), (4, "Of THE ofthe")], "doc_id long, text string").repartition(2)
+    plan = lambda found: found._jdf.queryExecution().optimizedPlan().toString()
+    found = match.search(df, "of THEN/2 the")
+    assert "Union" not in plan(found) and sorted(r.doc_id for r in found.collect()) == [1, 1, 4]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms, stats = score.scored_terms(df, "of the^2 of*")
+        assert "SortMergeJoin" not in score.scored_terms(df, "of the^2")[0]._jdf.queryExecution().toString()
+        assert stats == score.Collection(4, 3 + 3 + 4 + 3)
+        assert sorted((r.doc_id, r.term, r.tf, r.df, r.matches) for r in terms.collect()) == [(1, "of", 1, 4, True), (1, "of", 1, 4, True), (1, "the", 1, 4, True), (1, "the", 1, 4, True), (2, "of", 1, 4, True), (2, "the", 1, 4, True), (4, "of", 1, 4, True), (4, "ofthe", 1, 1, True), (4, "the", 1, 4, True)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import is_term
+from ..functions.analyzer import distinct_terms, word_list
 from ..functions.patterns import hit
-from ..plans.compile import InWords, by_intervals, native, places
-from ..plans.query import Boost, Leaf, Not, Query
+from ..functions.spans import Finder, spans
+from ..plans.query import Boost, Leaf, Not, Query, Term, leaves
 from ..sources.scratch import scratch
-from .match import analyzed, query
+from .match import query
 
 K1, B = 1.2, 0.75
 
@@ -73,34 +76,51 @@ def wanted(leaves: dict[Query, float], term: Column) -> Column:
     return out
 
 
+FACTS = "doc_id long, doc_terms int, own array<struct<term: string, tf: long>>, matches boolean"
+_OWN = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+
+
+def facts(q: Query, weighted: dict[Query, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, text) to FACTS: what scoring needs of a text, from one analysis of it; own: its terms that have a weight."""
+    every = [*leaves(q), *weighted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(every)
+        for b in batches:
+            rows = []
+            for text in b.column(1).to_pylist():
+                words = word_list(text)
+                places = finder.places(words)
+                # a word that several leaves match is there once
+                own = Counter(words[i] for i in {i for leaf in weighted for i in places[leaf]})
+                rows.append((distinct_terms(words), [{"term": t, "tf": n} for t, n in own.items()], bool(spans(q, places.__getitem__))))
+            n, own, matches = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(own, _OWN), pa.array(matches, pa.bool_())], ["doc_id", "doc_terms", "own", "matches"])
+
+    return run
+
+
 def scored_terms(df: DataFrame, q: str | Query, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Collection]:
     """Each document's scored terms, with whether the document matches; statistics over all of df.
 
     Texts are analysed once: what scoring needs of them is written to the shared folder, and the statistics and frequencies read that.
     """
     q = query(q)
-    leaves = weights(q)
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    split = native(q, InWords(F.col("words"))) is None
-
-    def facts(words: Column) -> Column:
-        terms = F.filter(words, is_term)
-        own = [F.size(F.array_distinct(terms)).alias("doc_terms"), F.filter(terms, lambda t: wanted(leaves, t)).alias("own")]
-        return F.struct(*own, (places(q, InWords(words)) if split else native(q, InWords(words))).alias("matches"))
-
-    found = analyzed(rows, use=facts).select("doc_id", "words.*")
-    if split:
-        found = found.withColumn("matches", by_intervals(q, F.col("matches")))
+    weighted = weights(q)
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    found = rows.mapInArrow(facts(q, weighted), FACTS)
     spark = df.sparkSession
     path = scratch(spark, "scored")
     found.write.parquet(path)
-    kept = spark.read.schema(found.schema).parquet(path)
+    kept = spark.read.schema(FACTS).parquet(path)
     n, total = kept.agg(F.count("*"), F.coalesce(F.sum("doc_terms"), F.lit(0))).first()
-    # equal rows are documents of their own
-    terms = kept.withColumn("row", F.monotonically_increasing_id()).filter(F.size("own") > 0)
-    counted = terms.select("row", "doc_id", "matches", "doc_terms", F.explode("own").alias("term")).groupBy("row", "doc_id", "matches", "doc_terms", "term").agg(F.count("*").alias("tf")).drop("row")
+    # a row's terms come from one analysis, so equal rows are documents of their own and nothing is grouped
+    counted = kept.select("doc_id", "matches", "doc_terms", F.explode("own").alias("x")).select("doc_id", "matches", "doc_terms", "x.term", "x.tf")
+    frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
+    if all(isinstance(leaf, Term) for leaf in weighted):
+        frequency = F.broadcast(frequency)  # a row for each word of the query
     stats = Collection(n, total)
-    return term_scores(counted, counted.groupBy("term").agg(F.count("*").alias("df")), leaves, stats), stats
+    return term_scores(counted, frequency, weighted, stats), stats
 
 
 def scores(df: DataFrame, q: str | Query, key: str = "doc_id", text: str = "text", matching: bool = True) -> DataFrame:
